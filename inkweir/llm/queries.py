@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkweir.llm import packing, skeletons, splitting, tokens
+from inkweir.llm import neardup, packing, skeletons, splitting, tokens
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,6 +43,16 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of policies alike by at least 0.6."""
+    return neardup.near_pairs(table(spark, folder, "policies"), "id", "title", "content")
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every policy with the class of its exact text, its group of alike records and its number of links."""
+    return neardup.near_groups(table(spark, folder, "policies"), "id", "title", "content")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
