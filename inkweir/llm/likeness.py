@@ -21,15 +21,17 @@ class Likeness:
     """What counts as alike. Shingles are `width` characters of the text without white space.
 
     `bins` hash ranges give the sketch; each of `bands` keys joins `rows` of its values. A pair at likeness J shares a
-    key with probability 1 - (1 - J^rows)^bands: 0.9995 at 0.6, 0.99999 at 0.65.
+    key with probability 1 - (1 - J^rows)^bands: 0.998 at 0.6, 0.99995 at 0.65.
     """
 
     width: int = 5
     threshold: float = 0.6
     least: int = 80
     bins: int = 256
-    bands: int = 96
+    bands: int = 80
     rows: int = 5
+    #: Values of a sketch that a pair is compared by first.
+    glance: int = 64
     #: Pairs whose sketches agree less than this are not compared in full; far below any threshold's sampling error.
     sketch_floor: float = 0.35
 
@@ -87,13 +89,13 @@ def _steps(bins: int) -> np.ndarray:
 
 
 def sketch(h: np.ndarray, bins: int) -> np.ndarray:
-    """16-bit minimum of each hash range; an empty range borrows from the first filled one in its own order."""
+    """8-bit minimum of each hash range; an empty range borrows from the first filled one in its own order."""
     edges = (np.arange(bins, dtype=np.uint64) * np.uint64((1 << 64) // bins))
     at = np.searchsorted(h, edges)
     end = np.append(at[1:], len(h))
     filled = at < end
     low = h[np.minimum(at, len(h) - 1)]
-    v = ((low * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.uint16)
+    v = ((low * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(56)).astype(np.uint8)
     if not filled.all():
         empty = np.flatnonzero(~filled)
         order = _steps(bins)[empty]
@@ -156,7 +158,7 @@ def keys_of(sketch_column: Column, p: Likeness = Likeness()) -> Column:
     def run(s: pd.Series) -> pd.Series:
         if not len(s):
             return pd.Series([], dtype=object)
-        return pd.Series(list(band_keys(np.frombuffer(b"".join(s), dtype=np.uint16).reshape(len(s), p.bins), p)))
+        return pd.Series(list(band_keys(np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), p.bins), p)))
 
     return run(sketch_column)
 
@@ -168,7 +170,7 @@ def agreement(a: Column, b: Column) -> Column:
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=float)
-        u, v = (np.frombuffer(b"".join(s), dtype=np.uint16).reshape(len(s), -1) for s in (x, y))
+        u, v = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), -1) for s in (x, y))
         return pd.Series((u == v).mean(axis=1))
 
     return run(a, b)

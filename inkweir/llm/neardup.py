@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkweir.llm.likeness import Likeness, agreement, exact, jaccard, keys_of, set_of, sketched
@@ -32,11 +32,16 @@ def classes(sketches: DataFrame) -> DataFrame:
     return sketches.select("key", "digest").join(reps, "digest").select("key", "rep")
 
 
-def blocks(reps: DataFrame, p: Likeness) -> DataFrame:
-    """(band, key, n) of the texts that share a band key with another; n is the number that share it."""
+def candidates(reps: DataFrame, p: Likeness, block: int) -> DataFrame:
+    """(a, b): texts that share a band key, each pair once; a text of a block of more than `block` is given as (a, null).
+
+    One exchange by band: a row takes the next keys of its block, at most `block`, from a bounded frame.
+    """
     rows = reps.select("key", F.explode(keys_of(F.col("sketch"), p)).alias("band"))
-    n = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return rows.join(n, "band")
+    own = Window.partitionBy("band").orderBy("key")
+    n = rows.withColumn("next", F.collect_list("key").over(own.rowsBetween(1, block))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("n > 1")
+    partners = F.when(F.col("n") > block, F.array(F.lit(None).cast("long"))).otherwise(F.col("next"))
+    return n.select(F.col("key").alias("a"), F.explode(partners).alias("b")).distinct()
 
 
 def metric_pairs(texts: DataFrame, p: Likeness, pivots: int = PIVOTS, radius: float = RADIUS, levels: int = LEVELS, leaf: int = LEAF) -> DataFrame:
@@ -96,15 +101,12 @@ def metric_pairs(texts: DataFrame, p: Likeness, pivots: int = PIVOTS, radius: fl
 
 def representative_pairs(records: DataFrame, sketches: DataFrame, p: Likeness = Likeness(), block: int = BLOCK) -> DataFrame:
     """(a, b, likeness), a < b: the representatives alike by the threshold. records: (key, title, content)."""
-    reps = sketches.groupBy("digest").agg(F.min_by("sketch", "key").alias("sketch"), F.min("key").alias("key"))
-    rows = blocks(reps, p)
-    rows = cut(rows)  # few texts have a partner: small, and used three times
-    small = rows.where(F.col("n") <= block).select("band", "key")
-    pairs = small.alias("s").join(small.select("band", F.col("key").alias("other")), "band").where("key < other").select(F.col("key").alias("a"), F.col("other").alias("b")).distinct()
-    sk = reps.select("key", "sketch")
-    met = pairs.join(sk.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
-    likely = met.where(agreement(F.col("sa"), F.col("sb")) >= p.sketch_floor).select("a", "b")
-    large = rows.where(F.col("n") > block).select("key").distinct()
+    reps = sketches.groupBy("digest").agg(F.min(F.struct("key", "sketch")).alias("x")).select("x.key", "x.sketch")
+    met = cut(candidates(reps, p, block))
+    sk = reps.select("key", F.substring("sketch", 1, p.glance).alias("sketch"))
+    two = met.where("b is not null").join(sk.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
+    likely = two.where(agreement(F.col("sa"), F.col("sb")) >= p.sketch_floor).select("a", "b")
+    large = met.where("b is null").select(F.col("a").alias("key"))
     if large.limit(1).count():
         hot = cut(records.join(large, "key", "left_semi"))
         likely = likely.unionByName(metric_pairs(hot, p)).distinct()

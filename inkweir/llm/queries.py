@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkweir.llm import neardup, packing, skeletons, splitting, tokens
+from inkweir.llm import intake, neardup, packing, personal, skeletons, splitting, tokens
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_groups(table(spark, folder, "policies"), "id", "title", "content")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates of the intake that repeat a policy or an earlier candidate, and how."""
+    return intake.repeated_candidates(table(spark, folder, "policies"), table(spark, folder, "intake")).select("cand_id", "kind")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
@@ -63,6 +68,16 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Mentions of personal information in the documents."""
+    return personal.find(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "kind", "start_pos").distinct()
+
+
+def p9_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with typed placeholders for the personal information."""
+    return personal.masked(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
