@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkweir.llm import intake, neardup, packing, personal, skeletons, splitting, tokens
+from inkweir.llm import intake, neardup, packing, personal, residue, skeletons, splitting, tokens
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_groups(table(spark, folder, "policies"), "id", "title", "content")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Policies that are template residue, filler or error pages."""
+    return residue.judged(table(spark, folder, "policies")).where("residue").select("id")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates of the intake that repeat a policy or an earlier candidate, and how."""
     return intake.repeated_candidates(table(spark, folder, "policies"), table(spark, folder, "intake")).select("cand_id", "kind")
