@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkweir.llm import intake, neardup, packing, personal, residue, skeletons, splitting, tokens
+from inkweir.llm import boilerplate, intake, neardup, packing, personal, residue, skeletons, splitting, tokens
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,6 +53,28 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_groups(table(spark, folder, "policies"), "id", "title", "content")
 
 
+def _pages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    policies = table(spark, folder, "policies")
+    urls = table(spark, folder, "fetch_records").where("raw_path <> ''").groupBy("raw_path").agg(F.min("page_url").alias("page_url"))
+    stored = table(spark, folder, "raw_pages").join(urls, "raw_path", "left").withColumn("url", F.coalesce("page_url", "raw_path"))
+    both = boilerplate.pages(policies, "policies", "id", "page_url", "content", False, "title").unionByName(boilerplate.pages(stored, "raw_pages", "raw_path", "url", "html", True))
+    return policies, both
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Furniture lines of policies and document lines of the stored pages."""
+    policies, both = _pages(spark, folder)
+    found = boilerplate.differenced(both, errors=residue.fit(policies))
+    lines = F.when(F.col("tbl") == "policies", F.col("dropped")).otherwise(F.col("kept"))
+    return found.select("tbl", F.col("key").alias("item_key"), F.explode(lines).alias("line_no")).distinct()
+
+
+def p4_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The text of every policy and stored page without furniture."""
+    _, both = _pages(spark, folder)
+    return boilerplate.body_texts(both, boilerplate.differenced(both))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Policies that are template residue, filler or error pages."""
     return residue.judged(table(spark, folder, "policies")).where("residue").select("id")

@@ -64,21 +64,21 @@ class Model:
     placeholder: np.ndarray
 
 
-def fit_odds(positive: list[np.ndarray], unlabelled: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
-    """EM of a two-class naive Bayes in which `positive` stays positive; log odds of each slot, clipped."""
+def fit_odds(positive: list[np.ndarray], unlabelled: list[np.ndarray], rounds: int = ROUNDS, negative: list[np.ndarray] = [], start: float = 0.01) -> np.ndarray:  # noqa: B006
+    """EM of a two-class naive Bayes in which `positive` and `negative` stay what they are; log odds of each slot, clipped."""
     def counts(docs: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
         if not docs:
             return np.zeros(SLOTS)
         return np.bincount(np.concatenate(docs), weights=np.repeat(weights, [len(d) for d in docs]), minlength=SLOTS)
 
-    post = np.full(len(unlabelled), 0.01)
+    post = np.full(len(unlabelled), start)
     odds = np.zeros(SLOTS)
-    fixed = counts(positive, np.ones(len(positive)))
+    fixed, against = counts(positive, np.ones(len(positive))), counts(negative, np.ones(len(negative)))
     joined = np.concatenate(unlabelled) if unlabelled else np.zeros(0, np.int64)
     edges = np.cumsum([0, *(len(d) for d in unlabelled)])[:-1]
     sizes = np.maximum(1, np.array([len(d) for d in unlabelled])) if unlabelled else np.ones(0)
     for _ in range(rounds):
-        yes, no = fixed + counts(unlabelled, post), counts(unlabelled, 1 - post)
+        yes, no = fixed + counts(unlabelled, post), against + counts(unlabelled, 1 - post)
         a = 0.05
         odds = np.log((yes + a) / (yes.sum() + a * SLOTS)) - np.log((no + a) / (no.sum() + a * SLOTS))
         odds = np.clip(odds, -4, 4)
