@@ -58,14 +58,14 @@ def issuing_number(content: Column, title: Column) -> Column:
 
 def signature_date(content: Column) -> Column:
     """The last date that has a line of its own, as YYYY-MM-DD, else ''."""
-    return F.coalesce(iso_date(F.element_at(F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(SIGNED), F.lit(1)), -1)), F.lit(""))
+    return F.coalesce(iso_date(F.try_element_at(F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(SIGNED), F.lit(1)), F.lit(-1))), F.lit(""))
 
 
 def signers(content: Column, before: int = 5, longest: int = 45) -> Column:
     """The run of issuer lines right above the last signature date, joined by '、'; '' without one."""
     text = F.coalesce(content, F.lit(""))
-    last = F.element_at(F.regexp_extract_all(text, F.lit(SIGNED), F.lit(1)), -1)
-    head = F.substring_index(text, last, F.size(F.split(text, F.concat(F.lit(r"\Q"), last, F.lit(r"\E")), -1)) - 1)
+    last = F.try_element_at(F.regexp_extract_all(text, F.lit(SIGNED), F.lit(1)), F.lit(-1))
+    head = F.get(F.split(text, F.concat(F.lit(r"(?m)^[\s　]*\Q"), last, F.lit(r"\E[\s　]*$(?![\s\S]*^[\s　]*\Q"), last, F.lit(r"\E[\s　]*$)"))), F.lit(0))
     lines = F.filter(F.transform(F.split(head, "\n"), lambda x: F.regexp_replace(x, rf"^{BLANK}+|{BLANK}+$", "")), lambda x: x != "")
     nearest = F.slice(F.reverse(lines), 1, before)
     stop = F.array_position(F.transform(nearest, lambda x: (F.length(x) <= longest) & x.rlike(ISSUER)), False)
