@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkweir.llm import residue
+from inkweir.llm.sampling import sample as bounded
 
 #: Pages, neighbours by URL, from which the model of furniture is learned.
 SAMPLE = 3000
@@ -188,12 +189,14 @@ def learn(rows: list[tuple[str, str, bool, str]]) -> np.ndarray:
 
 
 def fit(all_pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Learn from at most `sample` neighbouring pages of each kind of page, in folders taken by their hash."""
-    folder = F.xxhash64("host", F.regexp_extract("path", r"^(.*/)", 1))
+    """Learn from at most `sample` pages, half of each kind, in runs of neighbouring URLs taken by their hash."""
+    run = F.xxhash64("host", F.regexp_replace("path", r"[^/]?(\.[a-z]+)?$", ""))
     out = []
     for markup in (True, False):
-        out += all_pages.where((F.col("markup") == markup) & (F.length("text") > 0)).select("tbl", "host", "markup", "text", folder.alias("f"), "path", "key").orderBy("f", "host", "path", "key").limit(sample // 2).select("tbl", "host", "markup", "text").collect()
-    return learn([tuple(r) for r in out])
+        own = all_pages.where((F.col("markup") == markup) & (F.length("text") > 0)).select("tbl", "host", "markup", "text", "path", "key", run.alias("h"))
+        rows = bounded(own, F.col("h"), sample // 2, ["host", "path", "key"])
+        out += [(r["tbl"], r["host"], r["markup"], r["text"]) for r in rows]
+    return learn(out)
 
 
 def differenced(all_pages: DataFrame, odds: np.ndarray | None = None, errors: residue.Model | None = None) -> DataFrame:

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkweir.llm.sampling import sample_kinds
+
 SLOTS = 1 << 17
 #: Bounds of the fitting sample, in records, each taken by the hash of the key from the whole table.
 TRUSTED, SHORT, OTHER = 4000, 3000, 1500
@@ -152,10 +154,9 @@ def fit(df: DataFrame, key: str = "id", title: str = "title", content: str = "co
     sure = (F.coalesce(F.length("c"), F.lit(0)) < 400) & F.coalesce(F.col("c").rlike(ERRORS), F.lit(False)) | F.coalesce(F.col("t").rlike(PLACEHOLDER), F.lit(False)) | F.coalesce(F.col("c").rlike(PLACEHOLDER), F.lit(False))
     kind = F.when(sure, 0).when(F.length("c") < 300, 1).otherwise(2)
 
-    def take(k: int, n: int) -> list[tuple]:
-        return [(r["t"], r["c"]) for r in rows.where(kind == k).orderBy("h", "key").limit(n).select("t", "c").collect()]
-
-    return learn(take(0, TRUSTED), take(1, SHORT) + take(2, OTHER))
+    got = sample_kinds(rows, kind, F.col("h"), {0: TRUSTED, 1: SHORT, 2: OTHER}, ["t", "c"])
+    pairs = {k: [(r["t"], r["c"]) for r in x] for k, x in got.items()}
+    return learn(pairs[0], pairs[1] + pairs[2])
 
 
 def judged(df: DataFrame, key: str = "id", title: str = "title", content: str = "content", model: Model | None = None) -> DataFrame:
