@@ -199,12 +199,12 @@ def fit(all_pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     return learn(out)
 
 
-def differenced(all_pages: DataFrame, odds: np.ndarray | None = None, errors: residue.Model | None = None) -> DataFrame:
+def differenced(all_pages: DataFrame, odds: np.ndarray | None = None, errors: residue.Model | None = None, texts: bool = False) -> DataFrame:
     """(tbl, key, kept, dropped): for each page the numbers, from 1, of its document lines and its furniture lines.
 
     One exchange: ranges of the order by host and path, so that a host of any size spreads over tasks; neighbours are
     those of the range. With `errors`, pages that are template residue or errors have no lines of either kind. A null or
-    empty text has none; repeated pages are pages of their own.
+    empty text has no row; repeated pages are pages of their own. With `texts`, `body` holds the document lines.
     """
     spark = all_pages.sparkSession
     shared_model = spark.sparkContext.broadcast((fit(all_pages) if odds is None else odds, errors))
@@ -216,10 +216,10 @@ def differenced(all_pages: DataFrame, odds: np.ndarray | None = None, errors: re
         def finish(x: list) -> tuple:
             tbl, key, markup, title, text, page, shared, _ = x
             if errors is not None and residue.verdict(title, "\n".join(page.lines) if markup else text, errors)[0]:
-                return tbl, key, [], []
+                return tbl, key, [], [], "" if texts else None
             drop = furniture(page, shared, weights)
             keep = body(page, drop) if markup else [i for i, s in enumerate(page.lines) if s and not drop[i]]
-            return tbl, key, [i + 1 for i in keep], [i + 1 for i, d in enumerate(drop) if d]
+            return tbl, key, [i + 1 for i in keep], [i + 1 for i, d in enumerate(drop) if d], "\n".join(page.lines[i] for i in keep) if texts else None
 
         for b in batches:
             out = []
@@ -233,24 +233,16 @@ def differenced(all_pages: DataFrame, odds: np.ndarray | None = None, errors: re
                         now[6].update(j for _, j in both)
                     out.append(finish(held))
                 held = now
-            yield pd.DataFrame(out, columns=["tbl", "key", "kept", "dropped"])
+            yield pd.DataFrame(out, columns=["tbl", "key", "kept", "dropped", "body"])
         if held is not None:
-            yield pd.DataFrame([finish(held)], columns=["tbl", "key", "kept", "dropped"])
+            yield pd.DataFrame([finish(held)], columns=["tbl", "key", "kept", "dropped", "body"])
 
     order = ["tbl", "host", "path", "key"]
     near = all_pages.where(F.length("text") > 0).repartitionByRange(*order).sortWithinPartitions(*order)
-    return near.mapInPandas(run, "tbl string, key string, kept array<int>, dropped array<int>")
+    return near.mapInPandas(run, "tbl string, key string, kept array<int>, dropped array<int>, body string")
 
 
-def body_texts(all_pages: DataFrame, result: DataFrame) -> DataFrame:
-    """(tbl, key, text): the kept lines of each page, markup taken off."""
-
-    @F.pandas_udf("string")
-    def run(text: pd.Series, markup: pd.Series, kept: pd.Series) -> pd.Series:
-        out = []
-        for t, m, k in zip(text, markup, kept):
-            lines = read(t, m).lines if t else []
-            out.append(None if t is None else "\n".join(lines[i - 1] for i in (k if k is not None else ())))
-        return pd.Series(out, dtype=object)
-
-    return all_pages.select("tbl", "key", "markup", "text").join(result, ["tbl", "key"], "left").select("tbl", "key", run("text", "markup", "kept").alias("text"))
+def body_texts(all_pages: DataFrame, odds: np.ndarray | None = None) -> DataFrame:
+    """(tbl, key, text): the kept lines of each page, markup taken off; a null or empty text stays what it is."""
+    found = differenced(all_pages, odds, texts=True).select("tbl", "key", F.col("body").alias("text"))
+    return found.unionByName(all_pages.where(F.coalesce(F.length("text"), F.lit(0)) == 0).select("tbl", "key", "text"))

@@ -95,7 +95,7 @@ def metric_pairs(texts: DataFrame, p: Likeness, pivots: int = PIVOTS, radius: fl
         all_ = all_.unionByName(x)
     salts = 8
     homes = all_.where("home").select("region", F.col("key").alias("x"), F.pmod(F.xxhash64("key"), F.lit(salts)).alias("salt"))
-    guests = all_.select("region", F.col("key").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("salt"))
+    guests = all_.select("region", F.col("key").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
     return homes.join(guests, ["region", "salt"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
