@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Java's \s is ASCII only; (?U) adds Unicode white space, and the separators 1C-1F are named.
 BLANK = r"(?U)[\s\x1c-\x1f]"
@@ -26,7 +27,7 @@ def without_blanks(c: Column) -> Column:
     return F.regexp_replace(c, BLANK, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode compatibility composition; null for null."""
     return s.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x))
@@ -51,7 +52,7 @@ def iso_date(c: Column) -> Column:
 
 def issuing_number(content: Column, title: Column) -> Column:
     """A line of its own among the first 30 that is an issuing number, else the first one in the title, else ''."""
-    lines = F.transform(F.slice(F.split(F.coalesce(content, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x85  ]"), 1, 30), lambda x: F.regexp_replace(x, rf"^{BLANK}+|{BLANK}+$", ""))
+    lines = F.transform(F.slice(F.split(F.coalesce(content, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x85\x{2028}\x{2029}]"), 1, 30), lambda x: F.regexp_replace(x, rf"^{BLANK}+|{BLANK}+$", ""))
     own = F.get(F.filter(lines, lambda x: x.rlike(f"^(?:{NUMBER})$")), F.lit(0))
     return without_blanks(F.coalesce(own, F.regexp_extract(F.coalesce(title, F.lit("")), f"({NUMBER})", 1)))
 

@@ -7,6 +7,7 @@ import urllib.parse
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _PARTS = r"^\s*(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(?:#.*)?$"
 MEDIA = r"(?i)\.(jpg|jpeg|png|gif|css|js|svg)$"
@@ -55,7 +56,7 @@ def allowed(url: Column, origin: Column, include: Column, exclude: Column, hosts
     return F.coalesce(F.when(scheme == "file", F.lower(part(origin, 1)) == "file").otherwise(ok), F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def absolute(base: pd.Series, link: pd.Series) -> pd.Series:
     """A link resolved against its page; null where either is null or the link can't be read."""
 
@@ -68,7 +69,7 @@ def absolute(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([one(b, x) for b, x in zip(base, link)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unquoted(s: pd.Series) -> pd.Series:
     """Percent escapes decoded, plus signs kept."""
     return s.map(lambda x: None if x is None else urllib.parse.unquote(x))

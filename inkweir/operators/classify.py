@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from inkweir.functions.text import chunks, confidence, for_match, located
 
@@ -155,7 +156,7 @@ def by_model(parts: DataFrame, keys: list[str], client: Callable[[], Callable[[s
         for b in batches:
             yield b.assign(reply=[ask(s) for s in b["source"]])
 
-    return schema.mapInPandas(run, schema.schema.add("reply", "string"))
+    return schema.mapInPandas(run, StructType([*schema.schema.fields, StructField("reply", StringType())]))
 
 
 def with_fallback(model: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:

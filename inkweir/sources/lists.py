@@ -45,7 +45,8 @@ def feed_links(feeds: DataFrame, per_page: int = 20) -> DataFrame:
 
 def feed_errors(feeds: DataFrame) -> DataFrame:
     """(source_id, error) of the bodies that aren't JSON arrays."""
-    return feeds.where(~F.coalesce(F.regexp_replace("body", "^﻿", "").rlike(r"^\s*\[") & F.from_json("body", "array<string>").isNotNull(), F.lit(False))).select("source_id", F.lit("not a JSON array").alias("error"))
+    body = F.regexp_replace("body", "^﻿", "")
+    return feeds.where(~F.coalesce(body.rlike(r"^\s*\[") & F.from_json(body, "array<string>").isNotNull(), F.lit(False))).select("source_id", F.lit("not a JSON array").alias("error"))
 
 
 def build_spec(page: Column) -> Column:
