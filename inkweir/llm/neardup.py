@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkweir.llm.likeness import Likeness, agreement, exact, jaccard, keys_of, set_of, sketched
+from inkweir.llm.sampling import under
 from inkweir.session import cut
 
 #: A block of more texts than this isn't paired but goes to the metric join.
 BLOCK = 256
+#: Distinct texts by which crowded blocks are recognised before the exchange, and how many of them a block needs at least.
+PROBE, LEAST = 8192, 8
 PIVOTS = 24
 RADIUS = 0.5
 LEVELS = 4
@@ -32,16 +35,33 @@ def classes(sketches: DataFrame) -> DataFrame:
     return sketches.select("key", "digest").join(reps, "digest").select("key", "rep")
 
 
-def candidates(reps: DataFrame, p: Likeness, block: int) -> DataFrame:
+def candidates(reps: DataFrame, p: Likeness, block: int, hot: list[int] = ()) -> DataFrame:
     """(a, b): texts that share a band key, each pair once; a text of a block of more than `block` is given as (a, null).
 
-    One exchange by band: a row takes the next keys of its block, at most `block`, from a bounded frame.
+    One exchange by band: a row takes the next keys of its block, at most `block`, from a bounded frame. Rows of `hot`
+    bands aren't exchanged at all.
     """
     rows = reps.select("key", F.explode(keys_of(F.col("sketch"), p)).alias("band"))
+    crowd = None
+    if hot:  # a few bands at most: PROBE * bands / LEAST
+        shared = F.broadcast(reps.sparkSession.createDataFrame([(b,) for b in hot], "band long"))
+        crowd = rows.join(shared, "band", "left_semi").select(F.col("key").alias("a"), F.lit(None).cast("long").alias("b"))
+        rows = rows.join(shared, "band", "left_anti")
     own = Window.partitionBy("band").orderBy("key")
     n = rows.withColumn("next", F.collect_list("key").over(own.rowsBetween(1, block))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("n > 1")
     partners = F.when(F.col("n") > block, F.array(F.lit(None).cast("long"))).otherwise(F.col("next"))
-    return n.select(F.col("key").alias("a"), F.explode(partners).alias("b")).distinct()
+    met = n.select(F.col("key").alias("a"), F.explode(partners).alias("b"))
+    return (met.unionByName(crowd) if crowd is not None else met).distinct()
+
+
+def hot_bands(sketches: DataFrame, p: Likeness, block: int) -> list[int]:
+    """Bands that by a sample of about PROBE distinct texts hold more than `block` texts; at most PROBE * bands / LEAST."""
+    total = sketches.count()
+    share = min(1.0, PROBE / max(1, total))
+    some = sketches.where(under(F.xxhash64("digest"), share)).dropDuplicates(["digest"])
+    least = max(LEAST, block * share)
+    rows = some.select(F.explode(keys_of(F.col("sketch"), p)).alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    return [r["band"] for r in rows.select("band").collect()]
 
 
 def metric_pairs(texts: DataFrame, p: Likeness, pivots: int = PIVOTS, radius: float = RADIUS, levels: int = LEVELS, leaf: int = LEAF) -> DataFrame:
@@ -102,7 +122,7 @@ def metric_pairs(texts: DataFrame, p: Likeness, pivots: int = PIVOTS, radius: fl
 def representative_pairs(records: DataFrame, sketches: DataFrame, p: Likeness = Likeness(), block: int = BLOCK) -> DataFrame:
     """(a, b, likeness), a < b: the representatives alike by the threshold. records: (key, title, content)."""
     reps = sketches.groupBy("digest").agg(F.min(F.struct("key", "sketch")).alias("x")).select("x.key", "x.sketch")
-    met = cut(candidates(reps, p, block))
+    met = cut(candidates(reps, p, block, hot_bands(sketches, p, block)))
     sk = reps.select("key", F.substring("sketch", 1, p.glance).alias("sketch"))
     two = met.where("b is not null").join(sk.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
     likely = two.where(agreement(F.col("sa"), F.col("sb")) >= p.sketch_floor).select("a", "b")
