@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkweir.functions.text import number_key, title_key
+from inkweir.operators.skew import matched, running_count
 
 
 def identity_key(number: Column, title: Column, authority: Column, source: Column, url: Column) -> Column:
@@ -29,8 +30,9 @@ def decisions(batch: DataFrame, links: DataFrame | None = None, known: DataFrame
     (url, key) of stored documents, one key for each URL. known: (key, digest, version) of all stored versions.
 
     A digest already recorded under the key is a `duplicate_skip`; otherwise a row that isn't storable is `excluded`;
-    the first of its key is `ingested`; a row of a known URL is `updated`; the rest are `suspected_duplicate`. Two
-    exchanges by key: windows over (key) and (key, digest). Null digests equal nothing but themselves.
+    the first of its key is `ingested`; a row of a known URL is `updated`; the rest are `suspected_duplicate`. Firsts
+    are partial aggregates joined back and versions are counted in blocks, so a hot key isn't one task's. A null key or
+    digest equals nothing but another null.
     """
     spark = batch.sparkSession
     links = links if links is not None else spark.createDataFrame([], "url string, key string")
@@ -39,22 +41,21 @@ def decisions(batch: DataFrame, links: DataFrame | None = None, known: DataFrame
     r = batch.select("seq", "url", "natural", "digest", "storable").join(o, "url", "left").withColumn("key", F.coalesce("linked", "natural"))
     stored = known.groupBy("key").agg(F.max("version").alias("top"))
     digests = known.select("key", "digest", F.lit(True).alias("recorded")).distinct()
-    x = r.join(stored, "key", "left").join(digests, ["key", "digest"], "left")
-    out = spark.sql("""
-      with a as (
-        select *, min(case when storable then seq end) over (partition by key) anchor,
-               min(case when linked is not null and storable then seq end) over (partition by key, digest) upd
-        from {rows}),
-      c as (select *, max(case when seq = anchor then digest end) over (partition by key) anchor_digest from a),
-      e as (select *, case when recorded then -1 when top is not null then upd
-                           when digest <=> anchor_digest then anchor end rec from c),
-      d as (select *, case when seq > rec then 'duplicate_skip' when not storable then 'excluded'
-                           when top is null and not coalesce(seq > anchor, false) then 'ingested'
-                           when linked is null then 'suspected_duplicate' else 'updated' end decision from e)
-      select seq, url, key, digest, decision, coalesce(top, 0) top from d""", rows=x)
-    counted = F.expr("sum(case when decision in ('ingested', 'updated') then 1 else 0 end) over (partition by key order by seq)")
-    version = F.when(F.col("decision").isin("ingested", "updated"), F.col("top") + counted).when(F.col("decision") == "suspected_duplicate", F.lit(1))
-    return out.select("seq", "url", "key", "digest", "decision", version.cast("long").alias("version"))
+    x = matched(matched(r, stored, ["key"]), digests, ["key", "digest"])
+    # The first storable row of a key, and of a key's digest among linked rows: partial aggregates, joined back.
+    anchors = x.where("storable").groupBy("key").agg(F.min(F.struct("seq", "digest")).alias("a")).select("key", F.col("a.seq").alias("anchor"), F.col("a.digest").alias("anchor_digest"))
+    updates = x.where(F.col("storable") & F.col("linked").isNotNull()).groupBy("key", "digest").agg(F.min("seq").alias("upd"))
+    x = matched(matched(x, anchors, ["key"]), updates, ["key", "digest"])
+    record = F.when(F.col("recorded"), F.lit(-1).cast("long")).when(F.col("top").isNotNull(), F.col("upd")).when(F.col("anchor").isNotNull() & F.col("digest").eqNullSafe(F.col("anchor_digest")), F.col("anchor"))
+    later = F.coalesce(F.col("seq") > F.col("anchor"), F.lit(False))
+    decision = (
+        F.when(F.col("seq") > record, "duplicate_skip").when(~F.col("storable"), "excluded").when(F.col("top").isNull() & ~later, "ingested")
+        .when(F.col("linked").isNull(), "suspected_duplicate").otherwise("updated")
+    )
+    d = x.select("seq", "url", "key", "digest", decision.alias("decision"), F.coalesce("top", F.lit(0)).alias("top"))
+    d = running_count(d, ["key"], "seq", F.col("decision").isin("ingested", "updated"), "counted")
+    version = F.when(F.col("decision").isin("ingested", "updated"), F.col("top") + F.col("counted")).when(F.col("decision") == "suspected_duplicate", F.lit(1))
+    return d.select("seq", "url", "key", "digest", "decision", version.cast("long").alias("version"))
 
 
 def stored_key(decision: Column, key: Column, url: Column) -> tuple[Column, Column]:
@@ -65,5 +66,5 @@ def stored_key(decision: Column, key: Column, url: Column) -> tuple[Column, Colu
 
 def snapshot_versions(df: DataFrame, key: str, seq: str, digest: str) -> DataFrame:
     """`df` with `version`: the number of distinct digests of the key seen so far; a digest seen before adds none."""
-    first = F.expr(f"row_number() over (partition by `{key}`, `{digest}` order by `{seq}`) = 1")
-    return df.withColumn("_first", first).withColumn("version", F.expr(f"sum(int(_first)) over (partition by `{key}` order by `{seq}`)")).drop("_first")
+    first = df.groupBy(key, digest).agg(F.min(seq).alias("_first"))
+    return running_count(matched(df, first, [key, digest]), [key], seq, F.col(seq) == F.col("_first"), "version").drop("_first")

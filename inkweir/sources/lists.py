@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkweir.functions.urls import absolute, allowed, normalized
+from inkweir.operators.skew import first_rows
 from inkweir.sources import html
 
 FEED = "array<struct<URL:string,TITLE:string>>"
@@ -13,8 +14,7 @@ FEED = "array<struct<URL:string,TITLE:string>>"
 
 def first_seen(links: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in the given order."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return links.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return first_rows(links, by, order)
 
 
 def page_links(pages: DataFrame, selector: str = "", title_first: bool = False) -> DataFrame:
@@ -25,7 +25,7 @@ def page_links(pages: DataFrame, selector: str = "", title_first: bool = False)
     flat = pages.select("source_id", "page", "list_url", "include", "exclude", F.coalesce("page_url", "list_url").alias("base"), F.explode(html.links(F.col("html"), selector, title_first)).alias("l"))
     found = flat.select("source_id", "page", F.col("l.pos").alias("pos"), F.col("l.title").alias("title"), normalized(absolute(F.col("base"), F.col("l.href"))).alias("url"), "list_url", "include", "exclude")
     kept = found.where(allowed(F.col("url"), F.col("list_url"), F.col("include"), F.col("exclude")))
-    return first_seen(kept, ["source_id", "url"], ["page", "pos"]).select("source_id", "url", "title", "page", "pos")
+    return first_seen(kept.select("source_id", "url", "title", "page", "pos"), ["source_id", "url"], ["page", "pos"]).select("source_id", "url", "title", "page", "pos")
 
 
 def feed_links(feeds: DataFrame, per_page: int = 20) -> DataFrame:
@@ -40,7 +40,7 @@ def feed_links(feeds: DataFrame, per_page: int = 20) -> DataFrame:
     flat = feeds.select("source_id", "list_url", "include", "exclude", F.posexplode(taken).alias("pos", "row")).withColumn("o", F.from_json("row", "struct<URL:string,TITLE:string>")).where(F.col("row").rlike(r"^\s*\{"))
     found = flat.select("source_id", "pos", normalized(absolute(F.col("list_url"), F.coalesce("o.URL", F.lit("")))).alias("url"), F.coalesce("o.TITLE", F.lit("")).alias("title"), "list_url", "include", "exclude")
     kept = found.where(allowed(F.col("url"), F.col("list_url"), F.col("include"), F.col("exclude")))
-    return first_seen(kept, ["source_id", "url"], ["pos"]).select("source_id", "url", "title", "pos")
+    return first_seen(kept.select("source_id", "url", "title", "pos"), ["source_id", "url"], ["pos"]).select("source_id", "url", "title", "pos")
 
 
 def feed_errors(feeds: DataFrame) -> DataFrame:
