@@ -109,5 +109,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
 
+# Unicode white space for RE2.
+BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: A full stop and the blank after it belong to different stretches.
+STRETCHES = r"regexp_split_to_array(replace(text, '. ', '.' || chr(1) || ' '), '[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}。！？；!?;\x01]')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query over whole tables in reasonable time."""
+    return {
+        "p2_found": f"""select distinct tbl, id as item_id, case when list_max(list_transform({STRETCHES}, lambda x: length(x))) > 2000 then 'unbroken' else 'splittable' end as kind
+from (select 'policies' tbl, id, content as text from policies union all select 'attachments', id, parsed_text from attachments) where length(text) > 2000""",
+        "p3_found": f"""with d as (select id, regexp_replace(coalesce(title, '') || content, '{BLANK}', '', 'g') s from policies where length(regexp_replace(content, '{BLANK}', '', 'g')) >= 80),
+g as (select distinct id, substring(s, cast(i as int), 5) t from (select id, s, unnest(range(1, length(s) - 3)) i from d)), n as (select id, count(*) c from g group by 1),
+o as (select a.id x, b.id y, count(*) k from g a join g b on a.t = b.t and a.id < b.id group by 1, 2)
+select x as id_a, y as id_b from o join n p on p.id = x join n q on q.id = y where 5 * k >= 3 * (p.c + q.c - k)""",
+    }
