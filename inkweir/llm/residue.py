@@ -68,26 +68,26 @@ class Model:
 
 def fit_odds(positive: list[np.ndarray], unlabelled: list[np.ndarray], rounds: int = ROUNDS, negative: list[np.ndarray] = [], start: float = 0.01) -> np.ndarray:  # noqa: B006
     """EM of a two-class naive Bayes in which `positive` and `negative` stay what they are; log odds of each slot, clipped."""
-    def counts(docs: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
-        if not docs:
-            return np.zeros(SLOTS)
-        return np.bincount(np.concatenate(docs), weights=np.repeat(weights, [len(d) for d in docs]), minlength=SLOTS)
+    def joined(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return (np.concatenate(docs) if docs else np.zeros(0, np.int64)), np.array([len(d) for d in docs], dtype=np.int64)
 
+    def counts(at: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(at, weights=weights, minlength=SLOTS).astype(np.float64)
+
+    fixed, against = counts(joined(positive)[0]), counts(joined(negative)[0])
+    at, sizes = joined(unlabelled)
     post = np.full(len(unlabelled), start)
-    odds = np.zeros(SLOTS)
-    fixed, against = counts(positive, np.ones(len(positive))), counts(negative, np.ones(len(negative)))
-    joined = np.concatenate(unlabelled) if unlabelled else np.zeros(0, np.int64)
-    edges = np.cumsum([0, *(len(d) for d in unlabelled)])[:-1]
-    sizes = np.maximum(1, np.array([len(d) for d in unlabelled])) if unlabelled else np.ones(0)
+    edges, every = np.cumsum([0, *sizes])[:-1], counts(at)
+    a = 0.05
     for _ in range(rounds):
-        yes, no = fixed + counts(unlabelled, post), against + counts(unlabelled, 1 - post)
-        a = 0.05
+        mine = counts(at, np.repeat(post, sizes)) if len(at) else 0.0
+        yes, no = fixed + mine, against + every - mine
         odds = np.log((yes + a) / (yes.sum() + a * SLOTS)) - np.log((no + a) / (no.sum() + a * SLOTS))
         odds = np.clip(odds, -4, 4)
         if not len(unlabelled):
             break
         prior = np.log(max(post.mean(), 1e-4) / max(1 - post.mean(), 1e-4))
-        total = np.add.reduceat(odds[joined], edges) * np.minimum(1, 12 / sizes) + prior
+        total = np.add.reduceat(odds[at], edges) * np.minimum(1, 12 / np.maximum(1, sizes)) + prior
         post = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
     return odds.astype(np.float32)
 
