@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FINE = 1 << 30
-#: Rows on which the shares of the kinds are estimated.
-ESTIMATE = 50_000
+#: Rows, by hash from the whole table, among which the kinds of rows are told apart and counted.
+POOL = 50_000
 
 
 def under(h: Column, share: float) -> Column:
@@ -24,11 +24,12 @@ def sample(df: DataFrame, h: Column, n: int, order: list[str], total: int | None
 
 
 def sample_kinds(df: DataFrame, kind: Column, h: Column, bounds: dict[int, int], columns: list[str]) -> dict[int, list]:
-    """For each kind of row at most its bound, by hash. The kinds are counted on a share of the rows, then one scan takes all."""
+    """For each kind of row at most its bound, by hash, from a pool of about POOL rows of the whole table (all of a smaller
+    one). The kinds are counted in the pool, then a second scan of it takes the rows; telling kinds apart may be costly."""
     total = df.count()
-    part = min(1.0, ESTIMATE / max(1, total))
+    part = min(1.0, POOL / max(1, total))
     seen = {r["kind"]: r["n"] for r in df.where(under(h, part)).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    shares = {k: min(1.0, 1.5 * n * part / max(1, seen.get(k, 0))) for k, n in bounds.items()}
+    shares = {k: part * min(1.0, 1.5 * n / max(1, seen.get(k, 0))) for k, n in bounds.items()}
     take = F.lit(False)
     for k, share in shares.items():
         take = take | (F.col("kind") == k) & under(F.col("h"), share)
