@@ -144,18 +144,6 @@ def body(page: Page, drop: list[bool]) -> list[int]:
     return [i for i in range(where[0], where[1] + 1) if page.lines[i] and not drop[i] and (weights[i] > 0 or len(page.lines[i]) > 12)] if best >= 3 else []
 
 
-def main_text(text: str | None, markup: bool, shared: set[int], odds: np.ndarray) -> tuple[list[int], list[int]]:
-    """(positions of document lines, positions of furniture lines) of a page."""
-    if not text:
-        return [], []
-    page = read(text, markup)
-    drop = furniture(page, shared, odds)
-    bad = [i for i, x in enumerate(drop) if x]
-    if markup:
-        return body(page, drop), bad
-    return [i for i, x in enumerate(page.lines) if x and not drop[i]], bad
-
-
 def pages(df: DataFrame, tbl: str, key: str, url: str | Column, text: str, markup: bool, title: str | None = None) -> DataFrame:
     """(tbl, key, host, path, markup, title, text) with the URL taken apart."""
     u = F.col(f"`{url}`") if isinstance(url, str) else url
