@@ -7,7 +7,6 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from inkweir.functions.urls import host
 from inkweir.sources import html as H
 from inkweir.sources import lists as L
 from inkweir.sources import readers as R
