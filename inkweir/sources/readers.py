@@ -6,7 +6,6 @@ import hashlib
 import io
 import json
 import os
-import re
 import time
 import urllib.parse
 import urllib.request
@@ -22,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from inkweir.functions.urls import path_format
+from inkweir.sources.html import anchors
 
 LABELS = "id long, relevant boolean, categories array<string>"
 
@@ -265,13 +265,15 @@ class _HttpReader(DataSourceReader):
             yield tuple(r[k] for k in ("url", "ok", "content", "content_type", "sha256", "error"))
 
 
-def column_candidates(text: str) -> list[tuple[str, str]]:
-    """(title, href) of links that look like a site's document columns, each address once."""
-    out, seen = [], set()
-    for href, shown in re.findall(r"<a[^>]+href=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>", text, re.S):
-        href, name = href.strip(), re.sub(r"<[^>]+>|\s+", " ", shown).strip()
-        key = href.split("?")[0]
-        if href.startswith(("http", "/")) and "javascript" not in href and len(name) >= 3 and key not in seen and re.search("规范性文件|政策文件|政策法规|通知公告|文件库|zcwj|guifan|tzgg", href + name):
-            seen.add(key)
-            out.append((name[:30], href))
-    return out
+# Words and address parts of the columns in which documents are published.
+COLUMN_WORDS = ("规范性文件", "政策文件", "政策法规", "通知公告", "文件库", "zcwj", "guifan", "tzgg")
+
+
+def column_candidates(page: str, words: tuple[str, ...] = COLUMN_WORDS) -> list[tuple[str, str]]:
+    """(title, href) of a home page's links that look like columns of documents, each address without its query once."""
+    found: dict[str, tuple[str, str]] = {}
+    for href, title in anchors(page):
+        if href[:1] == "/" or href.startswith("http"):
+            if len(title) >= 3 and any(w in title or w in href for w in words):
+                found.setdefault(href.partition("?")[0], (title[:30], href))
+    return list(found.values())
