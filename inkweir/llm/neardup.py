@@ -157,26 +157,38 @@ def near_pairs(df: DataFrame, key: str, title: str, content: str, p: Likeness =
     return copies.unionByName(across)
 
 
-def near_groups(df: DataFrame, key: str, title: str, content: str, p: Likeness = Likeness(), rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
+    """(a, g): every node of the links (a, b), each held in both directions, with the smallest node of its component.
+
+    A round gives each node, and the node that was its label, the smallest label next to it, then lets labels take their
+    own labels. Labels only fall and stay within the component, so rounds end; they do when no label has changed, and then
+    neighbours have equal labels. Since labels move with their old roots, long chains need few rounds.
+    """
+    label = cut(links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("g")))
+    while True:
+        told = links.join(label.select(F.col("a").alias("b"), F.col("g").alias("h")), "b").groupBy("a").agg(F.min("h").alias("h"))
+        own = label.join(told, "a")
+        offers = own.select("a", F.least("g", "h").alias("g"), F.col("g").alias("old")).unionByName(own.select(F.col("g").alias("a"), F.col("h").alias("g"), F.lit(None).cast("long").alias("old")))
+        new = offers.groupBy("a").agg(F.min("g").alias("g"), F.max("old").alias("old"))
+        jump = cut(new.join(new.select(F.col("a").alias("g"), F.col("g").alias("gg")), "g").select("a", F.least("g", "gg").alias("g"), "old"))
+        label = jump.select("a", "g")
+        if not jump.where("g <> old").limit(1).count():
+            return label
+
+
+def near_groups(df: DataFrame, key: str, title: str, content: str, p: Likeness = Likeness()) -> DataFrame:
     """(key, class_id, group_id, links): every record with the class of its exact text, its group and its number of links.
 
     Groups are the connected components of the representatives' links, named by their smallest key; found by repeated
-    minimum exchange with pointer jumping, never outside the cluster. Records that take no part are groups of their own.
+    minimum exchange with pointer jumping until nothing changes, never outside the cluster. Records that take no part are
+    groups of their own.
     """
     records = records_of(df, key, title, content)
     sketches = cut(sketched(df, key, title, content, p))
     members = classes(sketches)
     alike = cut(representative_pairs(records, sketches, p).select("a", "b"))
     both = cut(alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("g")))
-    for _ in range(rounds):
-        told = both.join(label.select(F.col("a").alias("b"), F.col("g").alias("h")), "b").groupBy("a").agg(F.min("h").alias("h"))
-        new = label.join(told, "a").select("a", F.least("g", "h").alias("g"), F.col("g").alias("old"))
-        jump = new.join(new.select(F.col("a").alias("g"), F.col("g").alias("gg")), "g", "left").select("a", F.least("g", F.coalesce("gg", "g")).alias("g"), "old")
-        jump = cut(jump)
-        if not jump.where("g <> old").limit(1).count():
-            break
-        label = jump.select("a", "g")
+    label = components(both)
     links = both.groupBy("a").agg(F.count(F.lit(1)).alias("links"))
     out = records.select("key").join(members, "key", "left").select("key", F.coalesce("rep", "key").alias("class_id"))
     out = out.join(label.withColumnRenamed("a", "class_id"), "class_id", "left").join(links.withColumnRenamed("a", "class_id"), "class_id", "left")

@@ -93,6 +93,16 @@ def test_groups_are_components(spark):
     assert all(r["class_id"] <= i for i, r in got.items())
 
 
+def test_long_chain_in_random_order_is_one_group(spark):
+    random.seed(21)
+    signs = "".join(chr(random.randint(0x4E00, 0x9F00)) for _ in range(20 * 400 + 84))
+    ids = random.sample(range(10_000), 400)
+    rows = [(i, "", signs[20 * k : 20 * k + 104]) for k, i in enumerate(ids)]  # each alike to the next only: 80 of 120, 60 of 140
+    got = near_groups(frame(spark, rows), "id", "title", "content", P).collect()
+    assert sorted(r["id"] for r in got) == sorted(ids)
+    assert {r["group_id"] for r in got} == {min(ids)} and sum(r["links"] for r in got) == 2 * 399
+
+
 def test_empty_table(spark):
     assert near_pairs(frame(spark, corpus(1)).limit(0), "id", "title", "content", P).count() == 0
     assert near_groups(frame(spark, corpus(1)).limit(0), "id", "title", "content", P).count() == 0
