@@ -4,6 +4,8 @@ Nodes are candidate mentions (electronic mail, telephone and identity numbers, p
 true or false. Neighbours in the text are joined by chain edges, repeated or similar mentions anywhere in a document by
 skip edges; loopy message passing makes their labels consistent. Weights are learned by pseudo-likelihood from mentions
 whose surroundings decide them, on a bounded sample of documents; the learned weights are applied to every document.
+Which names are candidates doesn't depend on the sample: characters of given names are counted over all documents, and a
+name after a decisive word is a candidate in its document whatever its characters.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from inkweir.llm.sampling import sample as bounded
 
 KINDS = ("email", "phone", "idnum", "address", "name")
-#: Documents from which the weights and the characters of given names are learned.
+#: Documents from which the weights are learned.
 SAMPLE = 3000
 FEATURES = 1 << 14
 ROUNDS = 4
@@ -75,6 +77,7 @@ _WAY = re.compile(r" (?:Road|Street|Avenue|Lane|Boulevard|Drive|Rd|St|Ave)\b")
 NO_NAME = "Mr|Ms|Mrs|Dr|Miss|Prof|Sir|Contact|Attn|Applicant|Representative|Officer|The|This|That|Every|Each|All|If|When|Please|For|To|In|On|At|By|From|Call|Write|Questions|And|Or|Our|Their|Its"
 NAME_LATIN = re.compile(rf"(?<![A-Za-z])(?!(?:{NO_NAME})\b)([A-Z][a-z]+) (?!(?:{NO_NAME})\b)([A-Z][a-z]+)(?![A-Za-z])")
 _BEFORE, _BEFORE_LATIN, _NOT = re.compile(CUES_BEFORE), re.compile(CUES_LATIN), re.compile(NOT_NUMBER)
+_CUE_WORD = re.compile("联系人|收件人|法定代表人|听证代表|聽證代表|姓名|申请人|申請人|聯繫人|聯系人")
 _CUED = re.compile(rf"(?:联系人[:：]|收件人|法定代表人|听证代表|聽證代表|姓名[:：]|申请人|申請人|聯繫人[:：]|聯系人[:：])([{FAMILY}])[ 　]?([一-鿿]{{1,2}}?)(?=[ 　，；（,;(\t。]|已提交)")
 
 
@@ -92,13 +95,18 @@ def fold(text: str) -> str:
 
 @dataclass
 class Model:
-    """Weights of the field and the characters seen in given names."""
+    """Weights of the field and the characters seen in given names, of all documents."""
 
     given: str = ""
     node: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES, dtype=np.float64))
     chain: float = 0.3
     skip: float = 1.0
 
+    def known(self) -> frozenset[str]:
+        if not hasattr(self, "_known"):
+            self._known = frozenset(self.given)
+        return self._known
+
     def names(self) -> re.Pattern | None:
         if not hasattr(self, "_names"):
             g = re.escape(self.given)
@@ -114,6 +122,24 @@ class Mention:
     key: str
 
 
+def cued(text: str) -> Iterator[re.Match]:
+    """Names of a folded text that follow a decisive word: groups of family name and given name."""
+    return _CUED.finditer(text) if _CUE_WORD.search(text) else iter(())
+
+
+def counted(texts: list[str]) -> Counter[str]:
+    """For each character the number of names after a decisive word that hold it as given name."""
+    seen: Counter[str] = Counter()
+    for t in texts:
+        for m in cued(t):
+            seen.update(set(m.group(2)))
+    return seen
+
+
+def given_of(counts: dict[str, int]) -> str:
+    return "".join(sorted(c for c, n in counts.items() if n >= 2))
+
+
 def candidates(text: str, model: Model) -> list[Mention]:
     """Candidate mentions of a folded text, in order; of overlapping ones the more specific kind stays."""
     out: list[Mention] = []
@@ -140,6 +166,10 @@ def candidates(text: str, model: Model) -> list[Mention]:
     named = []
     if (names := model.names()) is not None:
         named += [Mention(m.start(), m.end(), "name", m.group().replace(" ", "")) for m in names.finditer(text)]
+    if rare := {m.group(1) + m.group(2) for m in cued(text) if not set(m.group(2)) <= model.known()}:
+        again = re.compile("|".join(x[0] + "[ 　]?" + x[1:] for x in sorted(rare, key=len, reverse=True)))
+        more = [Mention(m.start(), m.end(), "name", re.sub("[ 　]", "", m.group())) for m in again.finditer(text)]
+        named = [y for y in named if not any(x.start < y.end and y.start < x.end for x in more)] + more
     for m in NAME_LATIN.finditer(text):
         if m.group(1) in FAMILY_LATIN or m.group(2) in FAMILY_LATIN:
             named.append(Mention(m.start(), m.end(), "name", " ".join(sorted(m.groups()))))
@@ -237,14 +267,11 @@ def infer(scores: np.ndarray, chain: list[tuple[int, int]], skip: list[tuple[int
     return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
 
-def learn(texts: list[str]) -> Model:
-    """A model from texts: characters of given names after decisive words, then weights by pseudo-likelihood (AdaGrad)."""
+def learn(texts: list[str], given: str | None = None) -> Model:
+    """A model from texts: weights by pseudo-likelihood (AdaGrad). `given` holds the characters of given names in all
+    documents; without it the texts are all there are."""
     texts = [fold(t) for t in texts if t]
-    seen: Counter[str] = Counter()
-    for t in texts:
-        for m in _CUED.finditer(t):
-            seen.update(set(m.group(2)))
-    model = Model("".join(sorted(c for c, n in seen.items() if n >= 2)))
+    model = Model(given_of(counted(texts)) if given is None else given)
     rows, labels, chained, skipped = [], [], [], []
     for t in texts:
         found = candidates(t, model)
@@ -293,10 +320,24 @@ def mentions(text: str | None, model: Model) -> list[tuple[str, int, int]]:
     return [(x.kind, x.start, x.end) for x, p in zip(found, infer(scores, *edges(found), model)) if p >= 0.5]
 
 
+def given(df: DataFrame, text: str) -> str:
+    """Characters of given names by an aggregate over all documents; a row for each ideograph at most reaches the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter[str] = Counter()
+        for b in batches:
+            seen.update(counted([fold(t) for t in b["text"]]))
+        yield pd.DataFrame(list(seen.items()), columns=["sign", "n"])
+
+    own = df.select(F.col(f"`{text}`").alias("text")).where(F.col("text").rlike(_CUE_WORD.pattern))
+    totals = own.mapInPandas(run, "sign string, n long").groupBy("sign").agg(F.sum("n").alias("n")).where("n >= 2").collect()
+    return given_of({r["sign"]: r["n"] for r in totals})
+
+
 def fit(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Model:
-    """Learn from at most `sample` documents, taken by the hash of their key from the whole table."""
+    """Characters of given names from all documents; weights from at most `sample`, taken by the hash of their key."""
     rows = df.select(F.xxhash64(F.col(f"`{key}`")).alias("h"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    return learn([r["text"] for r in bounded(rows, F.col("h"), sample, ["key"], df.count()) if r["text"]])
+    return learn([r["text"] for r in bounded(rows, F.col("h"), sample, ["key"], df.count()) if r["text"]], given(df, text))
 
 
 def find(df: DataFrame, key: str, text: str, model: Model | None = None) -> DataFrame:

@@ -61,6 +61,21 @@ def test_found_and_masked(spark):
         assert masked[i] == out + t[last:]
 
 
+def test_names_are_candidates_whatever_the_sample(spark):
+    rows = [(i, t, "x", 1) for i, t, _ in documents(120)]
+    rare = ["王犇犇", "李犇", "张犇", "刘犇", "陈犇", "梅犇", "郭犇", "田犇"]  # in documents that the sample doesn't hold
+    rows += [(1000 + k, f"各有关单位推进工作。联系人：{p}，电话13800000000。\n听证代表{p}，现住此处。", "x", 1) for k, p in enumerate(rare)]
+    once = "各有关单位推进工作。联系人：樊麤，电话13800000000。\n办理人樊麤。"
+    rows.append((2000, once, "x", 1))
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = P.fit(df, "doc_id", "text", sample=1)
+    assert "犇" in model.given and set(GIVEN) <= set(model.given) and "麤" not in model.given
+    for _, t, *_ in rows[120:]:
+        name = next(P.cued(t)).group(1, 2)
+        want = [m.start() for m in P.re.finditer("".join(name), t)]
+        assert [x.start for x in P.candidates(t, model) if x.kind == "name"] == want and len(want) == 2
+
+
 def test_message_passing_agrees_on_a_tree():
     import itertools
     import math
