@@ -22,7 +22,7 @@ class Likeness:
 
     `bins` hash ranges give the sketch; each of `bands` keys joins `rows` of its values. The keys of a sketch depend on each
     other, so what they miss is measured: of 440,000 simulated pairs at likeness 0.6 (unions of 100 to 3,000 shingles)
-    3 shared no key. Links are not exact but for this.
+    3 shared no key. Links are exact but for this and the floor below.
     """
 
     width: int = 5
