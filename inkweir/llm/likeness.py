@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkweir.llm.sampling import under
+
 # Unicode white space.
 BLANKS = (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
@@ -20,21 +22,21 @@ BLANKS = (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 class Likeness:
     """What counts as alike. Shingles are `width` characters of the text without white space.
 
-    `bins` hash ranges give the sketch; each of `bands` keys joins `rows` of its values. The keys of a sketch depend on each
-    other, so what they miss is measured: of 440,000 simulated pairs at likeness 0.6 (unions of 100 to 3,000 shingles)
-    3 shared no key. Links are exact but for this and the floor below.
+    `bins` hash ranges give the sketch of 16-bit values. Each of `bands` keys starts at a bin of its own; a key is of two
+    values, and while it is held by many texts it takes the next value of its band, up to `depth`. What the keys miss is
+    measured by simulation (README). Links are exact but for this and the floor below.
     """
 
     width: int = 5
     threshold: float = 0.6
     least: int = 80
-    bins: int = 256
-    bands: int = 96
-    rows: int = 4
-    #: Values of a sketch that a pair is compared by first.
+    bins: int = 128
+    bands: int = 40
+    depth: int = 4
+    #: Values (their low bytes) of a sketch that a pair is compared by first.
     glance: int = 64
-    #: Pairs whose sketches agree less than this are not compared in full; none of 440,000 simulated pairs at 0.6 did.
-    sketch_floor: float = 0.3
+    #: Pairs whose sketches agree less than this are not compared in full.
+    sketch_floor: float = 0.25
 
 
 @lru_cache(maxsize=1)
@@ -89,36 +91,63 @@ def _steps(bins: int) -> np.ndarray:
     return np.array([np.random.Generator(np.random.PCG64(1000 + b)).permutation(bins) for b in range(bins)], dtype=np.int32)
 
 
-def sketch(h: np.ndarray, bins: int) -> np.ndarray:
-    """8-bit minimum of each hash range; an empty range borrows from the first filled one in its own order."""
+def sketch(h: np.ndarray, bins: int) -> bytes:
+    """16-bit minimum of each hash range, low bytes first; an empty range borrows from the first filled one in its own order."""
     edges = (np.arange(bins, dtype=np.uint64) * np.uint64((1 << 64) // bins))
     at = np.searchsorted(h, edges)
     end = np.append(at[1:], len(h))
     filled = at < end
     low = h[np.minimum(at, len(h) - 1)]
-    v = ((low * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(56)).astype(np.uint8)
+    v = ((low * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.uint16)
     if not filled.all():
         empty = np.flatnonzero(~filled)
         order = _steps(bins)[empty]
         v[empty] = v[order[np.arange(len(empty)), np.argmax(filled[order], axis=1)]]
-    return v
+    return (v & 255).astype(np.uint8).tobytes() + (v >> 8).astype(np.uint8).tobytes()
+
+
+def values_of(sketches: list[bytes] | pd.Series, bins: int) -> np.ndarray:
+    """(texts, bins) 16-bit values of sketches."""
+    planes = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(sketches), 2, bins)
+    return planes[:, 0].astype(np.uint16) | (planes[:, 1].astype(np.uint16) << 8)
 
 
 @lru_cache(maxsize=4)
 def _bands(p: Likeness) -> np.ndarray:
+    """(bands, depth) bins of each key; the first ones are all different."""
     g = np.random.Generator(np.random.PCG64(7))
-    return np.array([g.choice(p.bins, p.rows, replace=False) for _ in range(p.bands)])
+    first = g.choice(p.bins, p.bands, replace=False)
+    return np.array([[b, *g.choice(np.setdiff1d(np.arange(p.bins), [b]), p.depth - 1, replace=False)] for b in first])
 
 
-def band_keys(sketches: np.ndarray, p: Likeness) -> np.ndarray:
-    """(texts, bands) 64-bit keys of a (texts, bins) array of sketches."""
-    picked = sketches[:, _bands(p)].astype(np.uint64)
+def prefix_keys(values: np.ndarray, p: Likeness) -> np.ndarray:
+    """(texts, bands, depth - 1) 64-bit keys of 2 to `depth` values of each band."""
+    picked = values[:, _bands(p)].astype(np.uint64)
+    out = np.empty((*picked.shape[:2], p.depth - 1), dtype=np.uint64)
     h = np.broadcast_to(np.arange(p.bands, dtype=np.uint64) + np.uint64(1), picked.shape[:2]).copy()
     with np.errstate(over="ignore"):
-        for k in range(p.rows):
-            h = (h ^ picked[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+        for k in range(p.depth):
+            h = (h ^ (picked[:, :, k] + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-    return h.view(np.int64)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+            if k:
+                out[:, :, k - 1] = h
+    return out.view(np.int64)
+
+
+def routed(keys: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, bands) of each band the shortest key that isn't in the sorted `hot`, and whether even the longest is.
+
+    What a key is depends on its values only, so texts that agree in them have the same key.
+    """
+    if not len(hot):
+        return keys[:, :, 0], np.zeros(keys.shape[:2], dtype=bool)
+    at = np.searchsorted(hot, keys.ravel()).clip(max=len(hot) - 1)
+    cold = (hot[at] != keys.ravel()).reshape(keys.shape)
+    none = ~cold.any(axis=2)
+    level = np.where(none, keys.shape[2] - 1, cold.argmax(axis=2))
+    return np.take_along_axis(keys, level[:, :, None], axis=2)[:, :, 0], none
 
 
 def set_of(title: str | None, content: str | None, p: Likeness) -> np.ndarray | None:
@@ -145,25 +174,68 @@ def sketched(df: DataFrame, key: str, title: str, content: str, p: Likeness = Li
                 if h is not None and len(h):
                     keys.append(k)
                     digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-                    sketches.append(sketch(h, p.bins).tobytes())
+                    sketches.append(sketch(h, p.bins))
             yield pd.DataFrame({"key": keys, "digest": digests, "sketch": sketches})
 
     own = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{title}`").alias("title"), F.col(f"`{content}`").alias("content"))
     return own.where(F.length("content") >= p.least).mapInPandas(run, "key long, digest binary, sketch binary")
 
 
-def keys_of(sketch_column: Column, p: Likeness = Likeness()) -> Column:
-    """array<long>: the band keys of a sketch."""
+def keys_of(sketch_column: Column, p: Likeness = Likeness(), hot: np.ndarray | None = None, crowded: bool | None = None) -> Column:
+    """array<long>: the keys of a sketch, those that are `hot` at full length only (True), without them (False) or all (None)."""
+    shared = np.zeros(0, dtype=np.int64) if hot is None else hot
 
     @F.pandas_udf("array<long>")
     def run(s: pd.Series) -> pd.Series:
         if not len(s):
             return pd.Series([], dtype=object)
-        return pd.Series(list(band_keys(np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), p.bins), p)))
+        keys, full = routed(prefix_keys(values_of(s, p.bins), p), shared)
+        return pd.Series([k if crowded is None else k[f == crowded] for k, f in zip(keys, full)], dtype=object)
 
     return run(sketch_column)
 
 
+def hot_keys(sketches: DataFrame, p: Likeness, probe: int, least: int) -> np.ndarray:
+    """Sorted keys, of every length, that more than `least` of about `probe` sampled distinct texts (digest, sketch) hold.
+
+    It only decides which keys start longer; one task counts the bounded sample, at most probe * bands * 3 / least keys
+    come back.
+    """
+    total = sketches.count()
+    some = sketches.where(under(F.xxhash64("digest"), probe / max(1, total)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[bytes, bytes] = {}
+        for b in batches:
+            held.update(zip(b["digest"], b["sketch"]))
+        if not held:
+            return
+        keys = prefix_keys(values_of(list(held.values()), p.bins), p)
+        for level in range(keys.shape[2]):
+            own, n = np.unique(keys[:, :, level], return_counts=True)
+            yield pd.DataFrame({"key": own[n > least]})
+
+    found = some.select("digest", "sketch").coalesce(1).mapInPandas(run, "key long").toPandas()
+    return np.sort(found["key"].to_numpy(np.int64))
+
+
+def next_key(sketch_column: Column, key: Column, p: Likeness = Likeness()) -> Column:
+    """The key of one more value than `key`, one of the keys of the sketch; null where it is of full length."""
+
+    @F.pandas_udf("long")
+    def run(s: pd.Series, k: pd.Series) -> pd.Series:
+        if not len(s):
+            return pd.Series([], dtype="Int64")
+        keys = prefix_keys(values_of(s, p.bins), p)
+        own = keys == k.to_numpy(np.int64)[:, None, None]
+        more = np.zeros_like(own)
+        more[:, :, 1:] = own[:, :, :-1]
+        found = more.any(axis=(1, 2))
+        return pd.Series(np.where(found, np.where(more, keys, 0).sum(axis=(1, 2)), 0)).astype("Int64").where(pd.Series(found))
+
+    return run(sketch_column, key)
+
+
 def agreement(a: Column, b: Column) -> Column:
     """Share of equal values of two sketches, an estimate of the likeness."""
 

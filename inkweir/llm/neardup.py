@@ -1,9 +1,11 @@
-"""Near-duplicate records: one row per distinct text, candidate blocks, and an exact metric join inside large blocks.
-
-The Jaccard distance of unrelated records is near 1, so triangle-inequality windows of a Voronoi partition of the whole
-corpus would hold every record in every region. Blocks of equal sketch keys are formed first; inside blocks too large to
-pair, where distances are small, pivots create Voronoi regions (balls around their nearest pivots), the triangle
-inequality decides which boundary records are replicated, and the regions join recursively and exactly.
+"""Near-duplicate records: one row per distinct text, regions around pivots, and an exact metric join inside them.
+
+The Jaccard distance of unrelated records is near 1, so a Voronoi partition of the whole corpus with triangle-inequality
+windows would hold every record in every region. Equal sketch keys therefore lead records to their regions: the region
+of a key has its smallest record as pivot. Distances to pivots are computed exactly, the triangle inequality then decides
+which of the other pairs of a region can be alike, are alike for sure, or must be compared. Regions that stay large at full
+key length are split by more pivots: a record lives with its nearest pivot, the inequality decides which boundary records
+are replicated, and the parts join recursively and exactly.
 """
 
 from __future__ import annotations
@@ -12,21 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkweir.llm.likeness import Likeness, agreement, exact, jaccard, keys_of, set_of, sketched
-from inkweir.llm.sampling import under
+from inkweir.llm.likeness import Likeness, agreement, exact, hot_keys, jaccard, keys_of, next_key, set_of, sketched
+from inkweir.llm.sampling import FINE
 from inkweir.session import cut
 
-#: A block of more texts than this isn't paired but goes to the metric join.
-BLOCK = 256
-#: Distinct texts by which crowded blocks are recognised before the exchange, and how many of them a block needs at least.
-PROBE, LEAST = 8192, 8
-PIVOTS = 24
-RADIUS = 0.5
-LEVELS = 4
-LEAF = 2000
+#: Keys of more texts than this get longer; of full length, their texts go to the recursive metric join.
+BLOCK = 16
+#: Distinct texts, and how many of them hold a key, by which keys start longer.
+PROBE, LEAST = 32768, 6
+#: Pivots of a region, texts of a region that isn't split, levels of splitting, rows that are placed together.
+PIVOTS, LEAF, LEVELS, TOGETHER = 12, 256, 6, 2000
 
 
 def classes(sketches: DataFrame) -> DataFrame:
@@ -35,113 +35,125 @@ def classes(sketches: DataFrame) -> DataFrame:
     return sketches.select("key", "digest").join(reps, "digest").select("key", "rep")
 
 
-def candidates(reps: DataFrame, p: Likeness, block: int, hot: list[int] = ()) -> DataFrame:
-    """(a, b): texts that share a band key, each pair once; a text of a block of more than `block` is given as (a, null).
+def candidates(reps: DataFrame, p: Likeness, block: int, hot: np.ndarray) -> DataFrame:
+    """(a, b, pivot): a < b share a key whose smallest text is `pivot`, each pair once; (a, null, null): texts of keys that
+    have more than `block` texts at full length.
 
-    One exchange by band: a row takes the next keys of its block, at most `block`, from a bounded frame. Rows of `hot`
-    bands aren't exchanged at all.
+    One exchange by key: a row takes the next texts of its key from a frame of at most `block`. Keys of more texts are
+    exchanged again with one more value, only for those texts.
     """
-    rows = reps.select("key", F.explode(keys_of(F.col("sketch"), p)).alias("band"))
-    crowd = None
-    if hot:  # a few bands at most: PROBE * bands / LEAST
-        shared = F.broadcast(reps.sparkSession.createDataFrame([(b,) for b in hot], "band long"))
-        crowd = rows.join(shared, "band", "left_semi").select(F.col("key").alias("a"), F.lit(None).cast("long").alias("b"))
-        rows = rows.join(shared, "band", "left_anti")
-    own = Window.partitionBy("band").orderBy("key")
-    n = rows.withColumn("next", F.collect_list("key").over(own.rowsBetween(1, block))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("n > 1")
-    partners = F.when(F.col("n") > block, F.array(F.lit(None).cast("long"))).otherwise(F.col("next"))
-    met = n.select(F.col("key").alias("a"), F.explode(partners).alias("b"))
-    return (met.unionByName(crowd) if crowd is not None else met).distinct()
-
-
-def hot_bands(sketches: DataFrame, p: Likeness, block: int) -> list[int]:
-    """Bands that by a sample of about PROBE distinct texts hold more than `block` texts; at most PROBE * bands / LEAST."""
-    total = sketches.count()
-    share = min(1.0, PROBE / max(1, total))
-    some = sketches.where(under(F.xxhash64("digest"), share)).dropDuplicates(["digest"])
-    least = max(LEAST, block * share)
-    rows = some.select(F.explode(keys_of(F.col("sketch"), p)).alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
-    return [r["band"] for r in rows.select("band").collect()]
-
-
-def metric_pairs(texts: DataFrame, p: Likeness, pivots: int = PIVOTS, radius: float = RADIUS, levels: int = LEVELS, leaf: int = LEAF) -> DataFrame:
+    sketch = F.col("sketch")
+    rows = reps.select("key", F.explode(keys_of(sketch, p, hot, crowded=False)).alias("band"))
+    crowd = reps.select(F.col("key").alias("a"), F.size(keys_of(sketch, p, hot, crowded=True)).alias("n")).where("n > 0").select("a") if len(hot) else reps.select(F.col("key").alias("a")).limit(0)
+    own, all_ = Window.partitionBy("band").orderBy("key"), Window.partitionBy("band")
+    pairs = None
+    while True:
+        n = rows.withColumn("next", F.collect_list("key").over(own.rowsBetween(1, block))).withColumn("pivot", F.min("key").over(all_)).withColumn("n", F.count(F.lit(1)).over(all_)).where("n > 1")
+        held = cut(n.select("key", "band", "pivot", F.when(F.col("n") <= block, F.col("next")).alias("next")))
+        met = held.select(F.col("key").alias("a"), F.explode("next").alias("b"), "pivot")
+        pairs = met if pairs is None else pairs.unionByName(met)
+        more = held.where("next is null").select("key", "band")
+        if not more.limit(1).count():
+            break
+        longer = cut(more.join(reps.select("key", "sketch"), "key").select("key", next_key(sketch, F.col("band"), p).alias("band")))
+        crowd = crowd.unionByName(longer.where("band is null").select(F.col("key").alias("a")))
+        rows = longer.where("band is not null")
+    none = F.lit(None).cast("long")
+    return pairs.groupBy("a", "b").agg(F.min("pivot").alias("pivot")).unionByName(crowd.distinct().select("a", none.alias("b"), none.alias("pivot")))
+
+
+def _windows(a: str, b: str, reach: float) -> Column:
+    """Whether two arrays of distances to the same pivots allow the distance `reach`."""
+    return ~F.exists(F.zip_with(a, b, lambda x, y: F.abs(x - y) > reach + 1e-6), lambda x: x)
+
+
+def metric_pairs(texts: DataFrame, sketches: DataFrame, p: Likeness, pivots: int = PIVOTS, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
     """(a, b), a < b: every pair of `texts` (key, title, content) that may be within the distance, and no pair missed.
 
-    Each level takes `pivots` records (a bounded number) as centres. A record within `radius` of its nearest pivot lives
-    in that region; by the triangle inequality its partners are within radius + distance of the pivot, so those visit the
-    region. Records outside all balls go to the next level; large regions are split again with half the radius. What is
-    left after the last level is one region. Regions join as an equi-join on the region, salted by the home side.
+    All regions of a level are placed in one pass. A region of more than `leaf` texts gets up to `pivots` of them, by
+    hash; each text lives with its nearest pivot and, by the triangle inequality, visits those whose radius it comes near
+    enough to. A part that keeps nearly all texts of its region isn't split further: there the windows on the distances
+    to all pivots, and the sketches, decide which pairs are left. Regions pair as equi-joins, salted by the home side.
     """
-    spark = texts.sparkSession
     reach = 1 - p.threshold
-    todo, made = [(texts, radius, levels, "0")], []
-    while todo:
-        df, r, depth, name = todo.pop()
-        n = df.count()
-        if n < 2:
-            continue
-        if depth == 0 or n <= leaf:
-            made.append(df.select(F.lit(name).alias("region"), "key", F.lit(True).alias("home")))
-            continue
-        centres = [set_of(x["title"], x["content"], p) for x in df.orderBy(F.xxhash64("key", F.lit(depth)), "key").limit(pivots).select("title", "content").collect()]
-        shared = spark.sparkContext.broadcast([c for c in centres if c is not None])
-
-        def place(batches: Iterator[pd.DataFrame], shared=shared, r=r) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                out = []
-                for k, t, c in zip(b["key"], b["title"], b["content"]):
-                    h = set_of(t, c, p)
-                    d = np.array([1 - jaccard(h, x) for x in shared.value])
-                    near = int(d.argmin())
-                    home = near if d[near] <= r else -1
-                    out.append((k, home, True))
-                    out += [(k, int(g), False) for g in np.flatnonzero(d <= r + reach + 1e-9) if g != home]
-                yield pd.DataFrame(out, columns=["key", "region", "home"])
-
-        placed = cut(df.select("key", "title", "content").mapInPandas(place, "key long, region int, home boolean"))
-        rest = placed.where("region = -1").select("key")
-        todo.append((cut(df.join(rest, "key", "left_semi")), r, depth - 1, name + ".r"))
-        inside = placed.where("region >= 0")
-        sizes = inside.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("int")).alias("h")).collect()  # a row for each pivot
-        for s in sizes:
-            if s["n"] > leaf and s["n"] < 0.9 * n and s["h"] > 1:
-                todo.append((cut(df.join(inside.where(F.col("region") == s["region"]).select("key"), "key", "left_semi")), r / 2, depth - 1, f"{name}.{s['region']}"))
-            else:
-                made.append(inside.where(F.col("region") == s["region"]).select(F.lit(f"{name}.{s['region']}").alias("region"), "key", "home"))
-    if not made:
-        return spark.createDataFrame([], "a long, b long")
-    all_ = made[0]
-    for x in made[1:]:
+    text = texts.select("key", "title", "content")
+    none = F.array().cast("array<double>")
+    rows = text.select(F.lit("0").alias("region"), "key", F.lit(True).alias("home"), none.alias("far"), F.lit(None).cast("long").alias("was"))
+    done: list[DataFrame] = []
+    for level in range(levels + 1):
+        rows = cut(rows)
+        sizes = cut(rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("was").alias("was"), F.sum(F.col("home").cast("int")).alias("homes")).where("n > 1 and homes > 0"))
+        large = (F.col("n") > leaf) & (F.col("was").isNull() | (F.col("n") < 0.9 * F.col("was"))) & F.lit(level < levels)
+        sized = rows.join(sizes.select("region", "n", large.alias("large")), "region")
+        done.append(sized.where("not large").select("region", "key", "home", "far", "n"))
+        if not sizes.where(large).limit(1).count():
+            break
+        split = cut(sized.where("large").select("region", "key", "home", "n"))
+        h = F.pmod(F.xxhash64("key", F.lit(level)), F.lit(FINE))
+        some = split.where(h < F.lit(4 * pivots * FINE) / F.col("n")).withColumn("nth", F.row_number().over(Window.partitionBy("region").orderBy(h, "key"))).where(F.col("nth") <= pivots)
+        parts = F.ceil(F.col("n") / TOGETHER).cast("int")
+        centres = cut(some.join(text, "key").select("region", "n", "title", "content")).toDF("region", "n", "title", "content").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+        placing = split.join(text, "key").withColumn("salt", F.pmod(F.xxhash64("key"), parts).cast("int")).select("region", "salt", "key", "home", "n", "title", "content")
+
+        def place(group: tuple, own: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+            sets = sorted((x.tobytes() for x in (set_of(t, c, p) for t, c in zip(around["title"], around["content"])) if x is not None))
+            at = [np.frombuffer(x, dtype=np.uint64) for x in sets]
+            far = [[1 - jaccard(x, c) for c in at] for x in (set_of(t, c, p) for t, c in zip(own["title"], own["content"]))]
+            return pd.DataFrame({"region": own["region"], "key": own["key"], "home": own["home"], "n": own["n"], "near": [int(np.argmin(x)) for x in far], "far": far})
+
+        placed = cut(placing.groupBy("region", "salt").cogroup(centres.groupBy("region", "salt")).applyInPandas(place, "region string, key long, home boolean, n long, near int, far array<double>"))
+        radii = placed.where("home").groupBy("region", "near").agg(F.max(F.element_at("far", F.col("near") + 1)).alias("radius"))
+        visits = placed.select("*", F.posexplode("far").alias("q", "d")).join(radii.withColumnRenamed("near", "q"), ["region", "q"]).where((F.col("q") == F.col("near")) | (F.col("d") <= F.col("radius") + reach + 1e-6))
+        rows = visits.select(F.concat_ws(".", "region", F.col("q").cast("string")).alias("region"), "key", (F.col("home") & (F.col("q") == F.col("near"))).alias("home"), "far", F.col("n").alias("was"))
+    all_ = done[0]
+    for x in done[1:]:
         all_ = all_.unionByName(x)
-    salts = 8
-    homes = all_.where("home").select("region", F.col("key").alias("x"), F.pmod(F.xxhash64("key"), F.lit(salts)).alias("salt"))
-    guests = all_.select("region", F.col("key").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    return homes.join(guests, ["region", "salt"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    salts = F.ceil(F.col("n") / leaf).cast("int")
+    glanced = all_.join(sketches.select("key", "sketch"), "key")
+    homes = glanced.where("home").select("region", F.col("key").alias("x"), F.pmod(F.xxhash64("key"), salts).cast("int").alias("salt"), F.col("far").alias("fx"), F.col("sketch").alias("sx"))
+    guests = glanced.select("region", F.col("key").alias("y"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("far").alias("fy"), F.col("sketch").alias("sy"))
+    met = homes.join(guests, ["region", "salt"]).where((F.col("x") != F.col("y")) & _windows("fx", "fy", reach))
+    return met.where(agreement(F.col("sx"), F.col("sy")) >= p.sketch_floor).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def representative_pairs(records: DataFrame, sketches: DataFrame, p: Likeness = Likeness(), block: int = BLOCK) -> DataFrame:
-    """(a, b, likeness), a < b: the representatives alike by the threshold. records: (key, title, content)."""
+def representative_pairs(records: DataFrame, sketches: DataFrame, p: Likeness = Likeness(), block: int = BLOCK, hot: np.ndarray | None = None, leaf: int = LEAF) -> DataFrame:
+    """(a, b), a < b: the representatives alike by the threshold. records: (key, title, content)."""
     reps = sketches.groupBy("digest").agg(F.min(F.struct("key", "sketch")).alias("x")).select("x.key", "x.sketch")
-    met = cut(candidates(reps, p, block, hot_bands(sketches, p, block)))
+    met = cut(candidates(reps, p, block, hot_keys(sketches, p, PROBE, LEAST) if hot is None else hot))
     sk = reps.select("key", F.substring("sketch", 1, p.glance).alias("sketch"))
     two = met.where("b is not null").join(sk.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
-    likely = two.where(agreement(F.col("sa"), F.col("sb")) >= p.sketch_floor).select("a", "b")
-    large = met.where("b is null").select(F.col("a").alias("key"))
-    if large.limit(1).count():
-        hot = cut(records.join(large, "key", "left_semi"))
-        likely = likely.unionByName(metric_pairs(hot, p)).distinct()
-    likely = cut(likely)
-    used = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = records.join(used, "key", "left_semi")
-    both = likely.join(texts.select(F.col("key").alias("a"), F.col("title").alias("ta"), F.col("content").alias("ca")), "a").join(texts.select(F.col("key").alias("b"), F.col("title").alias("tb"), F.col("content").alias("cb")), "b")
-    return both.select("a", "b", exact(F.col("ta"), F.col("ca"), F.col("tb"), F.col("cb"), p).alias("likeness")).where(F.col("likeness") >= p.threshold)
+    likely = cut(two.where(agreement(F.col("sa"), F.col("sb")) >= p.sketch_floor).select("a", "b", "pivot"))
+
+    def distances(pairs: DataFrame) -> DataFrame:
+        used = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        texts = records.join(used, "key", "left_semi")
+        both = pairs.join(texts.select(F.col("key").alias("a"), F.col("title").alias("ta"), F.col("content").alias("ca")), "a").join(texts.select(F.col("key").alias("b"), F.col("title").alias("tb"), F.col("content").alias("cb")), "b")
+        return both.select("a", "b", (1 - exact(F.col("ta"), F.col("ca"), F.col("tb"), F.col("cb"), p)).alias("d"))
+
+    reach = 1 - p.threshold + 1e-9
+    # To the pivot first; then the triangle inequality on what the two of a pair are from it.
+    star = F.col("pivot").isin(F.col("a"), F.col("b"))
+    from_pivot = cut(distances(likely.where(star).select("a", "b")))
+    alike = from_pivot.where(F.col("d") <= reach).select("a", "b")
+    both = from_pivot.unionByName(from_pivot.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    side = lambda k, d: both.select(F.col("a").alias("pivot"), F.col("b").alias(k), F.col("d").alias(d))
+    rest = likely.where(~star).join(side("a", "da"), ["pivot", "a"], "left").join(side("b", "db"), ["pivot", "b"], "left")
+    rest = cut(rest.where(F.coalesce(F.abs(F.col("da") - F.col("db")) <= reach, F.lit(True))))
+    near = F.coalesce(F.col("da") + F.col("db") <= reach - 2e-9, F.lit(False))
+    open_ = rest.where(~near).select("a", "b")
+    crowd = met.where("b is null").select(F.col("a").alias("key"))
+    if crowd.limit(1).count():
+        hot_texts = cut(records.join(crowd, "key", "left_semi"))
+        open_ = open_.unionByName(metric_pairs(hot_texts, sk, p, leaf=leaf)).distinct()
+    alike = alike.unionByName(rest.where(near).select("a", "b"))
+    return alike.unionByName(distances(cut(open_)).where(F.col("d") <= reach).select("a", "b")).distinct()
 
 
 def records_of(df: DataFrame, key: str, title: str, content: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{title}`").alias("title"), F.col(f"`{content}`").alias("content"))
 
 
-def near_pairs(df: DataFrame, key: str, title: str, content: str, p: Likeness = Likeness(), block: int = BLOCK) -> DataFrame:
+def near_pairs(df: DataFrame, key: str, title: str, content: str, p: Likeness = Likeness(), block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all records alike by at least the threshold, copies included.
 
     Keys must be unique long numbers. Records whose content is null, empty or shorter than `least` characters without
@@ -150,7 +162,7 @@ def near_pairs(df: DataFrame, key: str, title: str, content: str, p: Likeness =
     records = records_of(df, key, title, content)
     sketches = cut(sketched(df, key, title, content, p))
     members = classes(sketches)
-    alike = representative_pairs(records, sketches, p, block)
+    alike = representative_pairs(records, sketches, p, block, leaf=leaf)
     copies = members.alias("m").join(members.select("rep", F.col("key").alias("other")), "rep").where("key < other").select(F.col("key").alias("id_a"), F.col("other").alias("id_b"))
     left = alike.join(members.select(F.col("rep").alias("a"), F.col("key").alias("x")), "a")
     across = left.join(members.select(F.col("rep").alias("b"), F.col("key").alias("y")), "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
@@ -186,7 +198,7 @@ def near_groups(df: DataFrame, key: str, title: str, content: str, p: Likeness =
     records = records_of(df, key, title, content)
     sketches = cut(sketched(df, key, title, content, p))
     members = classes(sketches)
-    alike = cut(representative_pairs(records, sketches, p).select("a", "b"))
+    alike = cut(representative_pairs(records, sketches, p))
     both = cut(alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = components(both)
     links = both.groupBy("a").agg(F.count(F.lit(1)).alias("links"))

@@ -4,9 +4,8 @@ import re
 
 import numpy as np
 
-from inkweir.llm.likeness import Likeness, band_keys, codes_of, jaccard, shingles, sketch
-from inkweir.llm.neardup import candidates, metric_pairs, near_groups, near_pairs, records_of
-from inkweir.llm.likeness import sketched
+from inkweir.llm.likeness import Likeness, codes_of, jaccard, prefix_keys, shingles, sketch, sketched, values_of
+from inkweir.llm.neardup import candidates, classes, metric_pairs, near_groups, near_pairs, records_of, representative_pairs
 
 P = Likeness(least=20)
 
@@ -56,24 +55,41 @@ def test_near_pairs_equal_brute_force(spark):
     assert got == pairs_of(rows) and len(got) > 20
 
 
-def test_large_blocks_by_metric_join(spark):
-    random.seed(8)
+def crowd(seed=8):
+    random.seed(seed)
     words = ["".join(chr(random.randint(0x4E00, 0x5200)) for _ in range(4)) for _ in range(60)]
     rows = []
     for c in range(3):
         base = [random.choice(words) + str(c) for _ in range(40)]
         rows += [(len(rows) + k, "", "".join(w if random.random() > 0.04 else random.choice(words) for w in base)) for k in range(25)]
-    got = {tuple(r) for r in near_pairs(frame(spark, rows), "id", "title", "content", P, block=4).collect()}
+    return rows
+
+
+def test_large_regions_by_metric_join(spark):
+    rows = crowd()
+    got = {tuple(r) for r in near_pairs(frame(spark, rows), "id", "title", "content", P, block=2, leaf=8).collect()}
     assert got == pairs_of(rows)
-    met = {tuple(r) for r in metric_pairs(records_of(frame(spark, rows), "id", "title", "content"), P, pivots=3, leaf=5).collect()}
-    assert pairs_of(rows) <= met
+    s = sketched(frame(spark, rows), "id", "title", "content", P).selectExpr("key", f"substring(sketch, 1, {P.glance}) as sketch")
+    for leaf, levels in ((5, 3), (5, 0), (1000, 3)):
+        met = {tuple(r) for r in metric_pairs(records_of(frame(spark, rows), "id", "title", "content"), s, P, pivots=3, leaf=leaf, levels=levels).collect()}
+        assert pairs_of(rows) <= met and len(met) < len(rows) * (len(rows) - 1) / 2
+
+
+def test_keys_of_many_texts_get_longer_and_lose_no_pair(spark):
+    rows = crowd(3)
+    s = sketched(frame(spark, rows), "id", "title", "content", P)
+    keys = np.unique(prefix_keys(values_of([r["sketch"] for r in s.collect()], P.bins), P))
+    reps = {r["rep"] for r in classes(s).collect()}
+    want = {(a, b) for a, b in pairs_of(rows) if a in reps and b in reps}
+    for hot in (np.zeros(0, dtype=np.int64), keys[::2], keys):
+        assert {tuple(r) for r in representative_pairs(records_of(frame(spark, rows), "id", "title", "content"), s, P, 3, hot).collect()} == want
 
 
-def test_blocks_are_reported_once(spark):
+def test_regions_are_reported_once(spark):
     rows = corpus(20)
     s = sketched(frame(spark, rows), "id", "title", "content", P)
-    c = candidates(s, P, 256).collect()
-    assert len({tuple(r) for r in c}) == len(c) and all(r["a"] < r["b"] for r in c)
+    c = candidates(s, P, 256, np.zeros(0, dtype=np.int64)).collect()
+    assert len({(r["a"], r["b"]) for r in c}) == len(c) and all(r["pivot"] <= r["a"] < r["b"] for r in c)
 
 
 def test_groups_are_components(spark):
@@ -111,8 +127,8 @@ def test_pairs_at_the_threshold_share_a_key():
         mine = g.integers(0, 2, len(rest)).astype(bool)
         left.append(sketch(np.sort(np.concatenate([both, rest[mine]])), p.bins))
         right.append(sketch(np.sort(np.concatenate([both, rest[~mine]])), p.bins))
-    a, b = np.array(left), np.array(right)
-    assert (band_keys(a, p) == band_keys(b, p)).any(axis=1).all()
+    a, b = values_of(left, p.bins), values_of(right, p.bins)
+    assert (prefix_keys(a, p) == prefix_keys(b, p))[:, :, 0].any(axis=1).all()
     assert ((a == b)[:, : p.glance].mean(axis=1) >= p.sketch_floor).all()
 
 
