@@ -195,6 +195,35 @@ def keys_of(sketch_column: Column, p: Likeness = Likeness(), hot: np.ndarray | N
     return run(sketch_column)
 
 
+def key_rows(reps: DataFrame, p: Likeness = Likeness(), hot: np.ndarray | None = None, whole: bool = False, more: str = "") -> DataFrame:
+    """(key, more, s1, s2, band): a row for each key of (key, sketch), those hot at full length only with `whole`. s1 and s2
+    hold the last bit of each value, so that pairs can be told to be unlike where they meet. `more`: long columns to keep."""
+    kept = ["key", *more.split()]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            values = values_of(b["sketch"], p.bins)
+            keys, full = routed(prefix_keys(values, p), np.zeros(0, dtype=np.int64) if hot is None else hot)
+            bits = np.packbits((values & 1).astype(np.uint8)[:, :128], axis=1)
+            bits = np.pad(bits, ((0, 0), (0, 16 - bits.shape[1]))).view(np.int64)
+            take = np.ones_like(full) if whole else ~full
+            n = take.sum(axis=1)
+            yield pd.DataFrame({**{k: np.repeat(b[k].to_numpy(), n) for k in kept}, "s1": np.repeat(bits[:, 0], n), "s2": np.repeat(bits[:, 1], n), "band": keys[take]})
+
+    return reps.select(*kept, "sketch").mapInPandas(run, ", ".join(f"{k} long" for k in (*kept, "s1", "s2", "band")))
+
+
+#: Of the 128 bits of two texts, those that may differ at most; at likeness 0.6 a fifth differ, five standard deviations less.
+BITS = 48
+
+
+def only(rows: DataFrame, keys: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """The rows whose key is in `keys` (distinct, materialised): filtered at the scan if they are few enough to broadcast."""
+    return rows.join(F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys, key, "left_semi")
+
+
 def hot_keys(sketches: DataFrame, p: Likeness, probe: int, least: int) -> np.ndarray:
     """Sorted keys, of every length, that more than `least` of about `probe` sampled distinct texts (digest, sketch) hold.
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkweir.llm.likeness import Likeness, agreement, exact, hot_keys, jaccard, keys_of, next_key, set_of, sketched
+from inkweir.llm.likeness import BITS, Likeness, agreement, exact, hot_keys, jaccard, key_rows, keys_of, next_key, only, set_of, sketched
 from inkweir.llm.sampling import FINE
 from inkweir.session import cut
 
@@ -43,19 +43,21 @@ def candidates(reps: DataFrame, p: Likeness, block: int, hot: np.ndarray) -> Dat
     exchanged again with one more value, only for those texts.
     """
     sketch = F.col("sketch")
-    rows = reps.select("key", F.explode(keys_of(sketch, p, hot, crowded=False)).alias("band"))
+    rows = key_rows(reps, p, hot)
     crowd = reps.select(F.col("key").alias("a"), F.size(keys_of(sketch, p, hot, crowded=True)).alias("n")).where("n > 0").select("a") if len(hot) else reps.select(F.col("key").alias("a")).limit(0)
     own, all_ = Window.partitionBy("band").orderBy("key"), Window.partitionBy("band")
     pairs = None
     while True:
-        n = rows.withColumn("next", F.collect_list("key").over(own.rowsBetween(1, block))).withColumn("pivot", F.min("key").over(all_)).withColumn("n", F.count(F.lit(1)).over(all_)).where("n > 1")
-        held = cut(n.select("key", "band", "pivot", F.when(F.col("n") <= block, F.col("next")).alias("next")))
+        n = rows.withColumn("next", F.collect_list(F.struct("key", "s1", "s2")).over(own.rowsBetween(1, block))).withColumn("pivot", F.min("key").over(all_)).withColumn("n", F.count(F.lit(1)).over(all_)).where("n > 1")
+        unlike = lambda x: F.bit_count(x["s1"].bitwiseXOR(F.col("s1"))) + F.bit_count(x["s2"].bitwiseXOR(F.col("s2")))
+        met = F.when(F.col("n") <= block, F.transform(F.filter("next", lambda x: unlike(x) <= BITS), lambda x: x["key"]))
+        held = cut(n.select("key", "band", "s1", "s2", "pivot", met.alias("next")).where("next is null or size(next) > 0"))
         met = held.select(F.col("key").alias("a"), F.explode("next").alias("b"), "pivot")
         pairs = met if pairs is None else pairs.unionByName(met)
-        more = held.where("next is null").select("key", "band")
+        more = held.where("next is null").select("key", "band", "s1", "s2")
         if not more.limit(1).count():
             break
-        longer = cut(more.join(reps.select("key", "sketch"), "key").select("key", next_key(sketch, F.col("band"), p).alias("band")))
+        longer = cut(more.join(reps.select("key", "sketch"), "key").select("key", "s1", "s2", next_key(sketch, F.col("band"), p).alias("band")))
         crowd = crowd.unionByName(longer.where("band is null").select(F.col("key").alias("a")))
         rows = longer.where("band is not null")
     none = F.lit(None).cast("long")
@@ -125,8 +127,7 @@ def representative_pairs(records: DataFrame, sketches: DataFrame, p: Likeness =
     likely = cut(two.where(agreement(F.col("sa"), F.col("sb")) >= p.sketch_floor).select("a", "b", "pivot"))
 
     def distances(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        texts = records.join(used, "key", "left_semi")
+        texts = cut(only(records, cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "key"))
         both = pairs.join(texts.select(F.col("key").alias("a"), F.col("title").alias("ta"), F.col("content").alias("ca")), "a").join(texts.select(F.col("key").alias("b"), F.col("title").alias("tb"), F.col("content").alias("cb")), "b")
         return both.select("a", "b", (1 - exact(F.col("ta"), F.col("ca"), F.col("tb"), F.col("cb"), p)).alias("d"))
 

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from inkweir.llm.likeness import Likeness, codes_of, jaccard, prefix_keys, shingles, sketch, sketched, values_of
+from inkweir.llm.likeness import BITS, Likeness, codes_of, jaccard, prefix_keys, shingles, sketch, sketched, values_of
 from inkweir.llm.neardup import candidates, classes, metric_pairs, near_groups, near_pairs, records_of, representative_pairs
 
 P = Likeness(least=20)
@@ -130,6 +130,7 @@ def test_pairs_at_the_threshold_share_a_key():
     a, b = values_of(left, p.bins), values_of(right, p.bins)
     assert (prefix_keys(a, p) == prefix_keys(b, p))[:, :, 0].any(axis=1).all()
     assert ((a == b)[:, : p.glance].mean(axis=1) >= p.sketch_floor).all()
+    assert (((a ^ b) & 1).sum(axis=1) <= BITS).all()
 
 
 def test_empty_table(spark):
