@@ -7,6 +7,7 @@ the readable consistent spelling of the same text.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -135,19 +136,52 @@ def _marks(s: str) -> str:
     return s if s.isascii() else unicodedata.normalize("NFD", s)
 
 
+@lru_cache(maxsize=1)
+def _scripts() -> list[tuple[re.Pattern, re.Pattern, dict[int, str]]]:
+    """For each script that lends look-alikes: runs of its letters and their prototypes, its unmistakable letters, and
+    prototype -> its letter. Made from the list above."""
+    out = []
+    for low, high, others, marks in ((0x30A1, 0x30FE, "ヵヶ・", "\u3099\u309a"), (0x400, 0x52F, "", "\u0300-\u036f"), (0x370, 0x3FF, "", "\u0300-\u036f")):
+        back = {}
+        for line in LOOK_ALIKES.split("\n"):
+            own = [c for c in line[2:] if low <= ord(c) <= high and c not in others]
+            if own:
+                back[ord(line[0])] = own[0]
+        taken = {ord(c) for line in LOOK_ALIKES.split("\n") for c in line[2:]}
+        sure = "".join(chr(c) for c in range(low, high + 1) if c not in taken and chr(c) not in others and unicodedata.category(chr(c))[0] == "L")
+        plain = "" if low == 0x30A1 else "A-Za-z"
+        out.append((re.compile(f"[{sure}{marks}{''.join(map(chr, back))}{plain}]+"), re.compile(f"[{sure}{marks if not plain else ''}]"), back))
+    return out
+
+
 def form_of(text: str) -> str:
-    """The consistent readable spelling: prototypes, composed, without invisible characters and outer blanks."""
+    """The consistent readable spelling: made from the skeleton alone, so texts that read the same have the same form.
+
+    In a run that holds an unmistakable letter of Katakana, Cyrillic or Greek, and no Latin letter that these lack, the
+    prototypes become letters of that script again; elsewhere they stay. Composed, without invisible characters and outer blanks.
+    """
     t = table()
-    return unicodedata.normalize("NFC", text.translate(t)).translate(t).strip()
+    s = _marks(_marks(text).translate(t)).translate(t)
+    if not s.isascii():
+        for run, sure, back in _scripts():
+            s = run.sub(lambda m: m.group().translate(back) if sure.search(m.group()) and not any(c.isascii() and ord(c) not in back for c in m.group()) else m.group(), s)
+    return unicodedata.normalize("NFC", s).strip()
 
 
 _BRACKETS = str.maketrans(OPENING + CLOSING, "〔" * len(OPENING) + "〕" * len(CLOSING))
 
 
-def skeleton_of(text: str, number: bool = False) -> str:
-    """`text` decomposed, mapped to prototypes and decomposed again; `number`: bracket style and white space fall away."""
+# Look-alikes within ASCII of the public list. They make other digits and letters of texts, so they are an option.
+_ASCII = str.maketrans({"0": "O", "1": "l", "I": "l", "|": "l", "m": "rn"})
+
+
+def skeleton_of(text: str, number: bool = False, loose: bool = False) -> str:
+    """`text` decomposed, mapped to prototypes and decomposed again; `number`: bracket style and white space fall away;
+    `loose`: 0 and O, 1, l, I and |, rn and m read the same too."""
     t = table()
     s = _marks(_marks(text).translate(t)).translate(t)
+    if loose:
+        s = s.translate(_ASCII)
     if number:
         return "".join(s.translate(_BRACKETS).split())
     return s.strip()

@@ -2,7 +2,7 @@
 
 Boundaries are paragraph, sentence and clause ends and, inside stretches without any, fixed steps. For each text the
 cheapest chain of cuts is chosen: a penalty for the kind of each cut plus the squared deviation of each piece from the
-even size, subject to the maximum length (the overlap included).
+even size, subject to the maximum length (the overlap included) and to the overlap.
 """
 
 from __future__ import annotations
@@ -20,12 +20,11 @@ from pyspark.sql import functions as F
 PARAGRAPH, SENTENCE, CLAUSE, HARD = 0, 1, 2, 3
 KINDS = ("paragraph", "sentence", "clause", "hard")
 PENALTY = (0.0, 0.15, 1.5, 4.0)
-NO_OVERLAP_PENALTY = 0.5
+#: Characters by which a forced cut may move off a combining sequence.
+SHIFT = 8
 LINE_BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
-_LINE = re.compile(rf"(?:\r\n|[{LINE_BREAKS}])+")
-_SENTENCE = re.compile(r"[。！？；!?;]+[”’」』）)\"']*|\.(?= )")
+_STOP = re.compile(rf"(?P<line>(?:\r\n|[{LINE_BREAKS}])+)|(?P<mark>[。！？；!?;]+)[”’」』）)\"']*|\.(?= )")
 _CLAUSE = re.compile(r"[，、：,:\t |]+")
-_STOP = re.compile(rf"[{LINE_BREAKS}。！？；!?;]|\. ")
 
 
 @dataclass(frozen=True)
@@ -41,26 +40,28 @@ class Limits:
             raise ValueError("0 <= overlap < size and step >= 1 are required")
 
 
-def longest_stretch(text: str) -> int:
-    """Length of the longest run without a line break, a sentence mark or a full stop followed by a space."""
-    best = start = 0
+def stops(text: str) -> tuple[dict[int, int], int]:
+    """({position: kind} of the natural boundaries, length of the longest stretch without any) by one scan.
+
+    A boundary lies behind the marks and what closes a quotation; the stretch after it begins behind the marks.
+    """
+    kind: dict[int, int] = {}
+    longest = begin = 0
     for m in _STOP.finditer(text):
-        best = max(best, m.start() + (len(m.group()) == 2) - start)
-        start = m.end() - (len(m.group()) == 2)
-    return max(best, len(text) - start)
+        line, mark = m.start("line"), m.start("mark")
+        longest = max(longest, (m.start() if line >= 0 or mark >= 0 else m.end()) - begin)
+        begin = m.end("mark") if mark >= 0 else m.end()
+        kind[m.end()] = PARAGRAPH if line >= 0 else SENTENCE
+    return kind, max(longest, len(text) - begin)
 
 
-def boundaries(text: str, limits: Limits) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, kinds): where a piece may end, rising; the end of the text is the last."""
+def boundaries(text: str, limits: Limits) -> tuple[np.ndarray, np.ndarray, int]:
+    """(positions, kinds, longest stretch): where a piece may end, rising; the end of the text is the last."""
     n = len(text)
-    kind: dict[int, int] = {}
-    for m in _SENTENCE.finditer(text):
-        kind[m.end()] = SENTENCE
-    for m in _LINE.finditer(text):
-        kind[m.end()] = PARAGRAPH
-    kind.pop(0, None)
+    kind, longest = stops(text)
     kind[n] = PARAGRAPH
     room = limits.size - limits.overlap
+    step = max(1, min(limits.step, room // 2))
     edges = [0, *sorted(kind)]
     for a, b in zip(edges, edges[1:]):
         if b - a > room // 2:
@@ -69,25 +70,27 @@ def boundaries(text: str, limits: Limits) -> tuple[np.ndarray, np.ndarray]:
                 kind[p] = CLAUSE
             for x, y in zip([a, *inner], [*inner, b]):
                 if y - x > room // 4:
-                    for p in range(x + limits.step, y, limits.step):
-                        while p > x + 1 and (unicodedata.combining(text[p]) or text[p] in "‍️" or text[p - 1] == "‍"):
+                    for p in range(x + step, y, step):
+                        low = max(x + 1, p - min(SHIFT, step - 1))
+                        while p > low and (unicodedata.combining(text[p]) or text[p] in "‍️" or text[p - 1] == "‍"):
                             p -= 1
                         kind.setdefault(p, HARD)
     at = np.array(sorted(kind), dtype=np.int64)
-    return at, np.array([kind[p] for p in at.tolist()], dtype=np.int64)
+    return at, np.array([kind[p] for p in at.tolist()], dtype=np.int64), longest
 
 
-def cuts(text: str, limits: Limits = Limits()) -> list[tuple[int, int, int, int]]:
-    """(start, end, overlap, kind of the cut at the end) of each piece; pieces cover the text without gaps.
+def plan(text: str, limits: Limits = Limits()) -> tuple[list[tuple[int, int, int, int]], int]:
+    """([(start, end, overlap, kind of the cut at the end)], longest stretch); pieces cover the text without gaps.
 
-    start is where the piece begins, its overlap included; without the overlaps the pieces join to the text. A text
-    within the limit, the empty one included, is one piece.
+    start is where the piece begins, its overlap included; without the overlaps the pieces join to the text. Every piece
+    but the first repeats 1 to `limits.overlap` characters of the one before. A text within the limit, the empty one
+    included, is one piece.
     """
     n = len(text)
     if n <= limits.size:
-        return [(0, n, 0, PARAGRAPH)]
-    at, kind = boundaries(text, limits)
-    # What each next piece would repeat: from the first natural boundary in the last `overlap` characters, else all of them.
+        return [(0, n, 0, PARAGRAPH)], stops(text)[1]
+    at, kind, longest = boundaries(text, limits)
+    # What each next piece repeats: from the first natural boundary in the last `overlap` characters, else all of them.
     natural = at[kind <= SENTENCE]
     first = np.searchsorted(natural, at - limits.overlap, "left")
     repeat = np.where((first < len(natural)) & (natural[np.minimum(first, len(natural) - 1)] < at), at - natural[np.minimum(first, len(natural) - 1)], limits.overlap)
@@ -96,34 +99,30 @@ def cuts(text: str, limits: Limits = Limits()) -> list[tuple[int, int, int, int]
     even = n / np.ceil(n / (limits.size - limits.overlap / 2))
     m = len(at)
     # (end - begin - even)^2 is expanded, so that each step takes one product, one sum and one minimum over its window.
-    full, bare = (starts - overlaps) / limits.size, starts / limits.size
-    of_full, of_bare = np.full(m + 1, np.inf), np.full(m + 1, np.inf)
-    of_full[0] = of_bare[0] = 0.0
-    back, plain = [0] * (m + 1), [False] * (m + 1)
-    lows_full = np.searchsorted(starts - overlaps, at - limits.size, "left").tolist()
-    lows_bare = np.searchsorted(starts, at - limits.size, "left").tolist()
+    begin = (starts - overlaps) / limits.size
+    cost = np.full(m + 1, np.inf)
+    cost[0] = 0.0
+    back = [0] * (m + 1)
+    lows = np.searchsorted(starts - overlaps, at - limits.size, "left").tolist()
     ends, pay = ((at - even) / limits.size).tolist(), np.array(PENALTY)[kind].tolist()
     for j in range(1, m + 1):
-        c, lo, mid = ends[j - 1], lows_bare[j - 1], min(lows_full[j - 1], j)
-        least = np.inf
-        if mid < j:
-            x = of_full[mid:j] - (2 * c) * full[mid:j]
-            k = int(x.argmin())
-            least, back[j] = x[k] + c * c, mid + k
-        if lo < mid:
-            x = of_bare[lo:mid] - (2 * c) * bare[lo:mid]
-            k = int(x.argmin())
-            if x[k] + c * c + NO_OVERLAP_PENALTY < least:
-                least, back[j], plain[j] = x[k] + c * c + NO_OVERLAP_PENALTY, lo + k, True
-        least += pay[j - 1]
-        of_full[j], of_bare[j] = least + full[j] ** 2, least + bare[j] ** 2
+        c, lo = ends[j - 1], lows[j - 1]
+        x = cost[lo:j] - (2 * c) * begin[lo:j]
+        k = int(x.argmin())
+        back[j] = lo + k
+        cost[j] = x[k] + c * c + pay[j - 1] + begin[j] ** 2
     out, j = [], m
     while j:
         i = back[j]
-        o = 0 if plain[j] else int(overlaps[i])
+        o = int(overlaps[i])
         out.append((int(starts[i]) - o, int(at[j - 1]), o, int(kind[j - 1])))
         j = i
-    return out[::-1]
+    return out[::-1], longest
+
+
+def cuts(text: str, limits: Limits = Limits()) -> list[tuple[int, int, int, int]]:
+    """The pieces of plan()."""
+    return plan(text, limits)[0]
 
 
 SUMMARY = "pieces array<struct<start_pos:int,end_pos:int,overlap:int,cut:string>>, longest_stretch int"
@@ -135,7 +134,7 @@ def plan_cuts(text: Column, limits: Limits = Limits()) -> Column:
     @F.pandas_udf(SUMMARY)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            made = [(None, None) if x is None else ([(a, b, o, KINDS[k]) for a, b, o, k in cuts(x, limits)], longest_stretch(x)) for x in s]
+            made = [(None, None) if x is None else ([(a, b, o, KINDS[k]) for a, b, o, k in got], longest) for x in s for got, longest in [plan(x, limits) if x is not None else (None, None)]]
             yield pd.DataFrame(made, columns=["pieces", "longest_stretch"])
 
     return run(text)

@@ -1,8 +1,9 @@
 """Encoding with a public byte-level BPE vocabulary: vectorised pre-tokenisation and cached pair merging.
 
 Texts of a batch become one array of code points; each has a class (letter, number, space, other, apostrophe or one
-of the letters of contractions). Boundaries follow from transition functions over runs of equal classes, composed by
-cumulative scans, without a regular expression. The slices between boundaries are merged once per distinct slice.
+of the letters of contractions). Whether a piece starts depends on a character, its neighbours and contractions, so
+boundaries follow from comparing shifted arrays, without a regular expression; only quotes are walked in order. The slices
+between boundaries are merged once per distinct slice; `spans` keeps the characters that each token covers.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,11 +151,23 @@ class Encoder:
             out.append(b"".join(row))
         return out
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """The text of ids; exact for ids made by encode()."""
+    def spans(self, text: str | None) -> tuple[list[int], list[int], list[int]]:
+        """(ids, starts, ends) of a text: where each token's bytes begin and end, in characters from 0. A token that holds a
+        part of a character spans it whole."""
+        ids = self.encode([text])[0]
+        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        ends = np.cumsum([len(self.bytes_of(i)) for i in ids], dtype=np.int64)
+        at = np.cumsum((raw & 0xC0) != 0x80)  # the character, from 1, of each byte
+        return ids, (at[np.concatenate([[0], ends[:-1]]).astype(np.int64)] - 1).tolist() if ids else [], at[ends - 1].tolist() if ids else []
+
+    def bytes_of(self, token: int) -> bytes:
         if not hasattr(self, "_bytes"):
             self._bytes = {v: k for k, v in self.ranks.items()}
-        return b"".join(self._bytes[i] for i in ids).decode("utf-8", "replace")
+        return self._bytes[token]
+
+    def decode(self, ids: Iterable[int]) -> str:
+        """The text of ids; exact for ids made by encode()."""
+        return b"".join(map(self.bytes_of, ids)).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=4)
@@ -203,6 +217,16 @@ def token_count(text: Column, path: str = VOCABULARY) -> Column:
     return run(text)
 
 
+def token_spans(text: Column, path: str = VOCABULARY) -> Column:
+    """struct(ids, starts, ends): token ids with the characters, from 0, each one covers; empty lists for null and empty texts."""
+
+    @F.pandas_udf("ids array<int>, starts array<int>, ends array<int>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([encoder(path).spans(x) for x in s], columns=["ids", "starts", "ends"])
+
+    return run(text)
+
+
 def encode_corpus(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFrame:
     """(key, ids) for every row of `df`; no shuffle."""
     return df.select(F.col(f"`{key}`"), token_ids(F.col(f"`{text}`"), path).alias("ids"))

@@ -34,6 +34,17 @@ def test_skeleton_is_stable(s):
     assert skeleton_of(unicodedata.normalize("NFD", s)) == skeleton_of(unicodedata.normalize("NFC", s))
 
 
+def test_forms_leave_scripts_alone():
+    for x in ("カード", "エネルギー", "Москва", "Λόγος", "工业カード", "人口二八", "Résidé"):
+        assert form_of(x) == x
+    assert form_of("ＡΙ算力") == "AI算力" and form_of("エ程") == "工程" and form_of("カ一ド") == "カード" and form_of("Mocквa") == "Москва"
+
+
+def test_loose_skeletons():
+    assert skeleton_of("paypaI", loose=True) == skeleton_of("paypal", loose=True) != skeleton_of("paypaI")
+    assert skeleton_of("rn0", loose=True) == skeleton_of("mO", loose=True)
+
+
 def test_table_prototypes_are_final():
     t = table()
     assert all(v.translate(t) == v for v in t.values())

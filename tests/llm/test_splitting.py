@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from inkweir.llm.splitting import HARD, Limits, cuts, longest_stretch, oversized, pieces
+from inkweir.llm.splitting import HARD, Limits, cuts, oversized, pieces, stops
 
 SMALL = Limits(60, 12, 5)
 
@@ -13,7 +13,7 @@ def check(text, limits):
     got = cuts(text, limits)
     assert "".join(text[a + o : b] for a, b, o, _ in got) == text
     assert all(b - a <= limits.size for a, b, _, _ in got)
-    assert all(0 <= o <= limits.overlap for _, _, o, _ in got) and got[0][2] == 0
+    assert all(1 <= o <= limits.overlap for _, _, o, _ in got[1:]) and got[0][2] == 0
     for (a, b, _, _), (c, _, o, _) in zip(got, got[1:]):
         assert c == b - o and c >= a
     return got
@@ -41,12 +41,18 @@ def test_long_text_and_default_limits():
     random.seed(1)
     text = "".join(random.choice(["句子，", "完了。", "\n", "word ", "x" * 50]) for _ in range(20000))
     check(text, Limits())
+    check("e\u0301" * 3000, Limits())
+    check("\u0301" * 3000, Limits(20, 19, 50))
+
+
+def longest(text):
+    return stops(text)[1]
 
 
 def test_longest_stretch():
-    assert longest_stretch("") == 0
-    assert longest_stretch("ab。cde\r\nf") == 3
-    assert longest_stretch("ab. cd.ef") == len(" cd.ef")
+    assert longest("") == 0
+    assert longest("ab。cde\r\nf") == 3
+    assert longest("ab. cd.ef") == len(" cd.ef")
     with pytest.raises(ValueError):
         Limits(10, 10)
 

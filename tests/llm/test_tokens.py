@@ -32,10 +32,21 @@ def test_round_trip_and_plain_merging():
         assert e.merge(piece.encode()) == e._merge(piece)
 
 
+def test_spans_cover_the_text():
+    e = K.Encoder()
+    for t in texts()[:2000]:
+        ids, starts, ends = e.spans(t)
+        assert ids == e.encode([t])[0] and len(ids) == len(starts) == len(ends)
+        if ids:
+            assert starts[0] == 0 and ends[-1] == len(t) and all(a <= b for a, b in zip(starts, starts[1:])) and all(b >= c - 1 for b, c in zip(ends, starts[1:]))
+
+
 def test_operator(spark):
     own = [(i, t, "x") for i, t in enumerate(texts()[:50])] + [(0, "", "x")]
     df = spark.createDataFrame(own, "doc_id long, text string, ids string")
     got = K.encode_corpus(df, "doc_id", "text").collect()
     want = K.Encoder().encode([t for _, t, _ in own])
     assert sorted((r["doc_id"], tuple(r["ids"])) for r in got) == sorted((i, tuple(w)) for (i, _, _), w in zip(own, want))
+    first = df.select("doc_id", K.token_spans("text").alias("s")).where("doc_id = 4").first()["s"]
+    assert first["ids"] == K.Encoder().encode([own[4][1]])[0] and first["ends"][-1] == len(own[4][1])
     assert K.encode_corpus(df.limit(0), "doc_id", "text").count() == 0
