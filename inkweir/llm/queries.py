@@ -71,8 +71,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_texts(spark: SparkSession, folder: str) -> DataFrame:
     """The text of every policy and stored page without furniture."""
-    _, both = _pages(spark, folder)
-    return boilerplate.body_texts(both)
+    policies, both = _pages(spark, folder)
+    return boilerplate.body_texts(both, errors=residue.fit(policies))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

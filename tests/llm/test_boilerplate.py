@@ -31,6 +31,30 @@ def test_furniture_of_texts(spark):
     assert all(set(got[r[0]]["kept"]) == set(range(3, 9)) for r in rows)
 
 
+NOTICE = "本网站使用Cookie以改善您的浏览体验，继续浏览即表示同意。"
+
+
+def test_the_alignment_deletes_sentences_that_pages_share(spark):
+    rows = [(r[0], r[1], NOTICE + "\n" + r[2], 1, "x", {1} | {i + 1 for i in r[5]}) for r in pages()]
+    _, got = run(spark, rows)
+    assert all(set(got[r[0]]["dropped"]) == r[5] for r in rows)
+    alone = B.read(rows[0][2], False)
+    odds = B.learn([])
+    none, most = B.furniture(alone, B.Counter(), 0, odds), B.furniture(alone, B.Counter({0: 6}), 8, odds)
+    assert not none[0] and most[0]  # without its neighbours the page keeps the notice
+    assert not any(B.furniture(alone, B.Counter({i: 8 for i in (7, 8)}), 8, odds)[7:9])  # signature and date stay
+
+
+def test_pages_of_one_line_keep_their_text(spark):
+    text = ["各有关单位：", "为推进某项建设，现就有关事项明确如下。", "第1条　某项建设应当按期完成，不得延误。", "某省水利局", "2025年3月1日"]
+    small = "<html><body><nav><a href='/1'>首页</a></nav><div>登录</div>" + "".join(f"<p>{x}</p>" for x in text) + "</body></html>"
+    one = "<html><body>\n<p>为推进某项建设，现就有关事项明确如下，请遵照执行。</p>\n</body></html>"
+    rows = [("1", "https://a.example/1", small, 1, "x"), ("2", "https://b.example/1", one, 1, "x")]
+    p, got = run(spark, rows, True)
+    assert got["1"]["body"].split("\n") == text and got["1"]["kept"] == [1]
+    assert got["2"]["kept"] == [2]
+
+
 def test_body_of_markup(spark):
     rows = []
     for r in pages(40):
