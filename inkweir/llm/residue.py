@@ -1,17 +1,21 @@
 """Template residue and error pages: positive-unlabelled naive Bayes by expectation-maximisation.
 
 Records that plainly are errors, notices or filler, and plain placeholders, are trusted positives; everything else is
-unlabelled. Naive Bayes over character bigrams is fitted by EM in which the positives stay fixed and every unlabelled
-passage has a posterior. One model tells error and filler passages from policy text, a second one placeholder spans.
-Every passage of every record is scored; a record is residue if all of its substance is, or if it holds an unfilled
-placeholder or a hint to the writer.
+unlabelled. Naive Bayes is fitted by EM in which the positives stay fixed and every unlabelled passage or span has a
+posterior. One model, over character bigrams, tells error and filler passages from policy text; a second one, over what
+encloses a span, what it consists of and what stands beside it, tells placeholders from other bracketed or marked spans.
+The notations of placeholders only choose what is trusted; any span is scored. Passages are scored up to the first one of
+substance, which settles the record; a record is residue if it has none and most of it reads like an error, or if it holds
+an unfilled placeholder or a hint to the writer.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,20 +28,64 @@ SLOTS = 1 << 17
 #: Bounds of the fitting sample, in records, each taken by the hash of the key from the whole table.
 TRUSTED, SHORT, OTHER = 4000, 3000, 1500
 ROUNDS = 8
-SPAN = 3.0
+#: Least sum of log odds of a placeholder.
+SPAN = 2.0
 
 # Texts that are trusted to be errors, notices about scripts, or filler.
 ERRORS = (
     r"404|50[0234] |403 |not found on this server|Access Denied|Whitelabel Error|Bad Gateway|Internal Server Error|Service Unavailable|Forbidden|Exception|errno|ORA-\d|页面不存在|已被删除|已过期下线|系统繁忙|登录已超时|数据库连接"
     r"|启用 ?JavaScript|enable J|turn on scripts|不支持 ?JS|浏览器支持脚本|脚本被关闭|浏览器版本过低|校验浏览器|安全验证|访问过于频繁|请求已被|敬请期待|待发布|正在整理|暂无内容|示例文本|[Ll]orem ipsum|(?:文字){3}|(?:正文){3}|(?:内容){3}|(?:test ?){3}|(?:asdf){2}"
 )
-# Notations of unfilled placeholders and hints to the writer.
+# Notations of unfilled placeholders and hints to the writer that are trusted in fitting.
 PLACEHOLDER = (
     r"\{\{[^{}\n]{1,40}\}\}|\$\{[^{}\n]{1,40}\}|\[\[[^\[\]\n]{1,40}\]\]|<%=?[^%\n]{1,40}%>|@@[^@\n]{1,40}@@|%\{[^{}\n]{1,40}\}|\{%[^%\n]{1,40}%\}|\{\$[^$\n]{1,40}\$\}|__[A-Za-z一-鿿][A-Za-z_.一-鿿]{0,38}__|#[A-Za-z_][A-Za-z_.]{1,30}#|#[一-鿿]{2,8}#"
     r"|20[Xx×]{2}年|[Xx×]{1,2}月[Xx×]{1,2}日|[Xx×]{3}(?=局|部|厅|省|市|县|单位|公司)"
     r"|[（(【\[<〔《](?=[^）)】\]>〕》\n]{0,30}(?:此处|待补充|待填|待定|插入|请输入|请在|请填|粘贴|发布前|请删除|请替换|示例文字|TODO|TBD))[^）)】\]>〕》\n]{2,36}[）)】\]>〕》]"
 )
+# Bracketed spans that are trusted to be no placeholders, so that a corpus with few of them has some.
+ORDINARY = "（第一批） （试行） （暂行） （征求意见稿） （市、区） （含税） （以下简称） （BIM） （REITs） （Software） 《管理办法》 《实施细则》 【相关阅读】 [大] [中] [附件]"
 _ERRORS, _PLACEHOLDER = re.compile(ERRORS), re.compile(PLACEHOLDER)
+#: Spans that may be placeholders: enclosed by signs or brackets, or of crosses.
+_SPAN = re.compile(
+    r"(?P<open>[{<\[$%@#«‹_]{1,3}=?) ?(?P<inner>[A-Za-z一-鿿][A-Za-z0-9_.一-鿿 ：:，,]{0,38}?) ?(?P<close>[}>\]$%@#»›_]{1,3})"
+    r"|(?P<cross>20[Xx×]{2}(?=年)|[Xx×]{1,3}(?=[月日局部厅省市县单公]))|(?P<left>[（(【〔《])(?P<note>[^\n（(【〔《）)】〕》{}$%@#<>_\[\]]{2,36})(?P<right>[）)】〕》])"
+)
+_MIRROR = str.maketrans("{<[«‹（(【〔《", "}>]»›）)】〕》")
+
+
+def _slot(s: str) -> int:
+    return zlib.crc32(s.encode()) % SLOTS
+
+
+def _kind(c: str) -> str:
+    return "字" if "一" <= c <= "鿿" else "a" if c.isalpha() else "9" if c.isdigit() else "|" if c in "\n" else c
+
+
+@lru_cache(maxsize=1 << 16)
+def _about(opening: str, inner: str, closing: str, before: str, after: str) -> np.ndarray:
+    """Slots of what a span is like: its signs, how they pair, what is inside and beside it."""
+    latin, han = any(c.isascii() and c.isalpha() for c in inner), sum("一" <= c <= "鿿" for c in inner)
+    made = "mixed" if latin and han else "han" if han else "words" if " " in inner.strip() else "name" if latin and any(c in "._" for c in inner) or latin and inner[:1].islower() else "word" if latin else "other"
+    signs = "cjk" if opening[:1] in "（【〔《" else "ascii" if opening.isascii() and opening else "cross" if not opening else "rare"
+    pair = "pair" if opening.replace("=", "")[::-1].translate(_MIRROR) == closing else "run" if opening == closing else "other"
+    out = [f"({opening}", f"){closing}", f"{signs} {pair} {made}", f"{signs} {len(opening)}", f"{made} {min(han, 9)}", f"beside {_kind(before)} {made}", f"{signs} beside {_kind(after)}", f"digits {any(c.isdigit() for c in inner)} {signs}"]
+    if not opening:
+        out += [f"cross {len(inner)} {inner[:1]}", f"cross {after}", f"cross {after} {_kind(before)}"]
+    out += [f"has {inner[k:k + 2]}" for k in range(len(inner) - 1) if "一" <= inner[k] <= "鿿"]
+    return np.array([_slot(x) for x in out], dtype=np.int64)
+
+
+def spans(text: str) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(start, end, slots) of the spans of a text that may be placeholders."""
+    for m in _SPAN.finditer(text):
+        a, b = m.span()
+        before, after = text[a - 1 : a] or "\n", text[b : b + 1] or "\n"
+        if m["open"]:
+            yield a, b, _about(m["open"], m["inner"], m["close"], before, after)
+        elif m["cross"]:
+            yield a, b, _about("", m["cross"], "", before, after)
+        else:
+            yield a, b, _about(m["left"], m["note"], m["right"], before, after)
 
 
 def fold(text: str) -> np.ndarray:
@@ -60,7 +108,7 @@ def passages(text: str) -> list[str]:
 
 @dataclass
 class Model:
-    """Log odds of each bigram: error or filler against policy, and placeholder against policy."""
+    """Log odds of each bigram, error or filler against policy, and of each trait of a span, placeholder against other spans."""
 
     error: np.ndarray
     placeholder: np.ndarray
@@ -95,16 +143,15 @@ def fit_odds(positive: list[np.ndarray], unlabelled: list[np.ndarray], rounds: i
 def learn(trusted: list[tuple[str | None, str | None]], others: list[tuple[str | None, str | None]]) -> Model:
     """A model from trusted and unlabelled records (title, content)."""
     errors = [slots(fold(p)) for _, c in trusted if c and len(c) < 400 and _ERRORS.search(c) for p in passages(c)]
-    spans = [slots(fold(m.group())) for t, c in trusted for x in (t, c) if x for m in _PLACEHOLDER.finditer(x)]
     plain = [slots(fold(p)) for t, c in others for p in passages(c or "")]
-    errors, spans, plain = ([d for d in x if len(d)] for x in (errors, spans, plain))
-    return Model(fit_odds(errors, plain), fit_odds(spans, plain))
-
-
-def best_span(odds: np.ndarray) -> float:
-    """Largest sum of a run."""
-    c = np.concatenate([[0.0], np.cumsum(odds)])
-    return float((c - np.minimum.accumulate(c)).max())
+    errors, plain = ([d for d in x if len(d)] for x in (errors, plain))
+    sure, open_ = [], []
+    for x in (x for record in (*trusted, *others) for x in record if x):
+        seeds = [m.span() for m in _PLACEHOLDER.finditer(x)]
+        for a, b, traits in spans(x):
+            (sure if any(a < d and c < b for c, d in seeds) else open_).append(traits)
+    never = [traits for *_, traits in spans(ORDINARY)]
+    return Model(fit_odds(errors, plain), fit_odds(sure, open_, negative=never))
 
 
 def _repetitive(p: str) -> bool:
@@ -117,17 +164,12 @@ def verdict(title: str | None, content: str | None, model: Model) -> tuple[bool,
     A passage of substance reads like policy text and is a sentence or of some length. Content without any is an error,
     a notice or filler if most of its characters are in passages that read so.
     """
-    span, holds = 0.0, False
-    for x in (title, content):
-        if x:
-            c = fold(x)
-            at = slots(c)
-            s = best_span(model.placeholder[at])
-            span = max(span, s)
-            holds = holds or (s >= SPAN and _PLACEHOLDER.search(x) is not None)
+    span = max((float(model.placeholder[traits].sum()) for x in (title, content) if x for *_, traits in spans(x)), default=0.0)
+    holds = span >= SPAN
     if not content or not content.strip():
         return holds, span, False
-    # at and c are those of the content; each line's score is the mean over the bigrams that start in it.
+    at = slots(fold(content))
+    # Each line's score is the mean over the bigrams that start in it.
     lines = content.split("\n")
     begins = np.cumsum([0, *(len(x) + 1 for x in lines)])
     total = np.concatenate([[0.0], np.cumsum(model.error[at], dtype=np.float64)])
