@@ -40,9 +40,9 @@ def test_finds_notations_that_are_no_seeds(monkeypatch):
     rows, bad = records()
     seeds = [(t, c) for i, t, c in rows if i in bad]
     others = [(t, (c or "") + "（第一批）〔2025〕《管理办法》[大]") for i, t, c in rows if i not in bad]
-    monkeypatch.setattr(R, "_PLACEHOLDER", re.compile(r"\{\{.*?\}\}|__[A-Z_]+__|<%=.*?%>|（此处.*?）"))
+    monkeypatch.setattr(R, "_PLACEHOLDER", re.compile(r"\{\{.*?\}\}|__[A-Z_]+__|<%=.*?%>|（此处.*?）|\$\{.*?\}|#发文字号#|【待补充.*?】"))
     model = R.learn(seeds, others)
-    for text in ("尊敬的{customer_name}用户", "由«FirstName»签收", "尊敬的<NAME>：", "{{发文字号}}"):
+    for text in ("尊敬的{customer_name}用户", "[[title]]", "@@pub_date@@", "%{issuer}", "{{发文字号}}"):
         assert R.verdict(None, SENTENCES[0] + text, model)[0], text
     for text in ("（第一批）", "〔2025〕", "《管理办法》", "[大] [中]", "#3机组与#4机组", "（JavaScript）", "{}", "[ ]"):
         assert not R.verdict(None, SENTENCES[0] + text, model)[0], text
