@@ -181,23 +181,9 @@ def sketched(df: DataFrame, key: str, title: str, content: str, p: Likeness = Li
     return own.where(F.length("content") >= p.least).mapInPandas(run, "key long, digest binary, sketch binary")
 
 
-def keys_of(sketch_column: Column, p: Likeness = Likeness(), hot: np.ndarray | None = None, crowded: bool | None = None) -> Column:
-    """array<long>: the keys of a sketch, those that are `hot` at full length only (True), without them (False) or all (None)."""
-    shared = np.zeros(0, dtype=np.int64) if hot is None else hot
-
-    @F.pandas_udf("array<long>")
-    def run(s: pd.Series) -> pd.Series:
-        if not len(s):
-            return pd.Series([], dtype=object)
-        keys, full = routed(prefix_keys(values_of(s, p.bins), p), shared)
-        return pd.Series([k if crowded is None else k[f == crowded] for k, f in zip(keys, full)], dtype=object)
-
-    return run(sketch_column)
-
-
-def key_rows(reps: DataFrame, p: Likeness = Likeness(), hot: np.ndarray | None = None, whole: bool = False, more: str = "") -> DataFrame:
-    """(key, more, s1, s2, band): a row for each key of (key, sketch), those hot at full length only with `whole`. s1 and s2
-    hold the last bit of each value, so that pairs can be told to be unlike where they meet. `more`: long columns to keep."""
+def key_rows(reps: DataFrame, p: Likeness = Likeness(), hot: np.ndarray | None = None, take: str = "cold", more: str = "") -> DataFrame:
+    """(key, more, s1, s2, band): a row for each key of (key, sketch) that isn't hot at full length (`cold`), is (`full`), or
+    for all. s1 and s2 hold the last bit of each value, so that pairs can be told to be unlike where they meet. `more`: long columns to keep."""
     kept = ["key", *more.split()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,9 +194,9 @@ def key_rows(reps: DataFrame, p: Likeness = Likeness(), hot: np.ndarray | None =
             keys, full = routed(prefix_keys(values, p), np.zeros(0, dtype=np.int64) if hot is None else hot)
             bits = np.packbits((values & 1).astype(np.uint8)[:, :128], axis=1)
             bits = np.pad(bits, ((0, 0), (0, 16 - bits.shape[1]))).view(np.int64)
-            take = np.ones_like(full) if whole else ~full
-            n = take.sum(axis=1)
-            yield pd.DataFrame({**{k: np.repeat(b[k].to_numpy(), n) for k in kept}, "s1": np.repeat(bits[:, 0], n), "s2": np.repeat(bits[:, 1], n), "band": keys[take]})
+            wanted = ~full if take == "cold" else full if take == "full" else np.ones_like(full)
+            n = wanted.sum(axis=1)
+            yield pd.DataFrame({**{k: np.repeat(b[k].to_numpy(), n) for k in kept}, "s1": np.repeat(bits[:, 0], n), "s2": np.repeat(bits[:, 1], n), "band": keys[wanted]})
 
     return reps.select(*kept, "sketch").mapInPandas(run, ", ".join(f"{k} long" for k in (*kept, "s1", "s2", "band")))
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkweir.llm.likeness import BITS, Likeness, agreement, exact, hot_keys, jaccard, key_rows, keys_of, next_key, only, set_of, sketched
+from inkweir.llm.likeness import BITS, Likeness, agreement, exact, hot_keys, jaccard, key_rows, next_key, only, set_of, sketched
 from inkweir.llm.sampling import FINE
 from inkweir.session import cut
 
@@ -35,16 +35,16 @@ def classes(sketches: DataFrame) -> DataFrame:
     return sketches.select("key", "digest").join(reps, "digest").select("key", "rep")
 
 
-def candidates(reps: DataFrame, p: Likeness, block: int, hot: np.ndarray) -> DataFrame:
-    """(a, b, pivot): a < b share a key whose smallest text is `pivot`, each pair once; (a, null, null): texts of keys that
-    have more than `block` texts at full length.
+def candidates(reps: DataFrame, p: Likeness, block: int, hot: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(a, b, pivot): a < b share a key whose smallest text is `pivot`, each pair once; and
+    (key, s1, s2, band): the texts of keys that have more than `block` texts at full length.
 
     One exchange by key: a row takes the next texts of its key from a frame of at most `block`. Keys of more texts are
     exchanged again with one more value, only for those texts.
     """
     sketch = F.col("sketch")
     rows = key_rows(reps, p, hot)
-    crowd = reps.select(F.col("key").alias("a"), F.size(keys_of(sketch, p, hot, crowded=True)).alias("n")).where("n > 0").select("a") if len(hot) else reps.select(F.col("key").alias("a")).limit(0)
+    crowd = key_rows(reps, p, hot, "full") if len(hot) else rows.limit(0)
     own, all_ = Window.partitionBy("band").orderBy("key"), Window.partitionBy("band")
     pairs = None
     while True:
@@ -57,11 +57,10 @@ def candidates(reps: DataFrame, p: Likeness, block: int, hot: np.ndarray) -> Dat
         more = held.where("next is null").select("key", "band", "s1", "s2")
         if not more.limit(1).count():
             break
-        longer = cut(more.join(reps.select("key", "sketch"), "key").select("key", "s1", "s2", next_key(sketch, F.col("band"), p).alias("band")))
-        crowd = crowd.unionByName(longer.where("band is null").select(F.col("key").alias("a")))
-        rows = longer.where("band is not null")
-    none = F.lit(None).cast("long")
-    return pairs.groupBy("a", "b").agg(F.min("pivot").alias("pivot")).unionByName(crowd.distinct().select("a", none.alias("b"), none.alias("pivot")))
+        longer = cut(more.join(reps.select("key", "sketch"), "key").select("key", "s1", "s2", "band", next_key(sketch, F.col("band"), p).alias("longer")))
+        crowd = crowd.unionByName(longer.where("longer is null").drop("longer"))
+        rows = longer.where("longer is not null").select("key", "s1", "s2", F.col("longer").alias("band"))
+    return pairs.groupBy("a", "b").agg(F.min("pivot").alias("pivot")), crowd
 
 
 def _windows(a: str, b: str, reach: float) -> Column:
@@ -69,18 +68,19 @@ def _windows(a: str, b: str, reach: float) -> Column:
     return ~F.exists(F.zip_with(a, b, lambda x, y: F.abs(x - y) > reach + 1e-6), lambda x: x)
 
 
-def metric_pairs(texts: DataFrame, sketches: DataFrame, p: Likeness, pivots: int = PIVOTS, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
-    """(a, b), a < b: every pair of `texts` (key, title, content) that may be within the distance, and no pair missed.
+def metric_pairs(texts: DataFrame, regions: DataFrame, p: Likeness, pivots: int = PIVOTS, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
+    """(a, b), a < b: every pair of a region (key, s1, s2, band) that may be within the distance, and no pair missed.
 
-    All regions of a level are placed in one pass. A region of more than `leaf` texts gets up to `pivots` of them, by
+    `texts`: (key, title, content). Regions start as those of the keys. All regions of a level are placed in one pass. A region of more than `leaf` texts gets up to `pivots` of them, by
     hash; each text lives with its nearest pivot and, by the triangle inequality, visits those whose radius it comes near
     enough to. A part that keeps nearly all texts of its region isn't split further: there the windows on the distances
-    to all pivots, and the sketches, decide which pairs are left. Regions pair as equi-joins, salted by the home side.
+    to all pivots, and the bits, decide which pairs are left. Regions pair as equi-joins, salted by the home side.
     """
     reach = 1 - p.threshold
     text = texts.select("key", "title", "content")
     none = F.array().cast("array<double>")
-    rows = text.select(F.lit("0").alias("region"), "key", F.lit(True).alias("home"), none.alias("far"), F.lit(None).cast("long").alias("was"))
+    bits = cut(regions.select("key", "s1", "s2").distinct())
+    rows = regions.select(F.col("band").cast("string").alias("region"), "key").distinct().select("*", F.lit(True).alias("home"), none.alias("far"), F.lit(None).cast("long").alias("was"))
     done: list[DataFrame] = []
     for level in range(levels + 1):
         rows = cut(rows)
@@ -111,19 +111,21 @@ def metric_pairs(texts: DataFrame, sketches: DataFrame, p: Likeness, pivots: int
     for x in done[1:]:
         all_ = all_.unionByName(x)
     salts = F.ceil(F.col("n") / leaf).cast("int")
-    glanced = all_.join(sketches.select("key", "sketch"), "key")
-    homes = glanced.where("home").select("region", F.col("key").alias("x"), F.pmod(F.xxhash64("key"), salts).cast("int").alias("salt"), F.col("far").alias("fx"), F.col("sketch").alias("sx"))
-    guests = glanced.select("region", F.col("key").alias("y"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("far").alias("fy"), F.col("sketch").alias("sy"))
-    met = homes.join(guests, ["region", "salt"]).where((F.col("x") != F.col("y")) & _windows("fx", "fy", reach))
-    return met.where(agreement(F.col("sx"), F.col("sy")) >= p.sketch_floor).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    glanced = all_.join(bits, "key")
+    homes = glanced.where("home").select("region", F.col("key").alias("x"), F.pmod(F.xxhash64("key"), salts).cast("int").alias("salt"), F.col("far").alias("fx"), "s1", "s2")
+    guests = glanced.select("region", F.col("key").alias("y"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("far").alias("fy"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+    unlike = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
+    met = homes.join(guests, ["region", "salt"]).where((F.col("x") != F.col("y")) & (unlike <= BITS) & _windows("fx", "fy", reach))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def representative_pairs(records: DataFrame, sketches: DataFrame, p: Likeness = Likeness(), block: int = BLOCK, hot: np.ndarray | None = None, leaf: int = LEAF) -> DataFrame:
     """(a, b), a < b: the representatives alike by the threshold. records: (key, title, content)."""
     reps = sketches.groupBy("digest").agg(F.min(F.struct("key", "sketch")).alias("x")).select("x.key", "x.sketch")
-    met = cut(candidates(reps, p, block, hot_keys(sketches, p, PROBE, LEAST) if hot is None else hot))
+    met, crowd = candidates(reps, p, block, hot_keys(sketches, p, PROBE, LEAST) if hot is None else hot)
+    crowd = cut(crowd)
     sk = reps.select("key", F.substring("sketch", 1, p.glance).alias("sketch"))
-    two = met.where("b is not null").join(sk.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
+    two = met.join(sk.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
     likely = cut(two.where(agreement(F.col("sa"), F.col("sb")) >= p.sketch_floor).select("a", "b", "pivot"))
 
     def distances(pairs: DataFrame) -> DataFrame:
@@ -142,10 +144,11 @@ def representative_pairs(records: DataFrame, sketches: DataFrame, p: Likeness =
     rest = cut(rest.where(F.coalesce(F.abs(F.col("da") - F.col("db")) <= reach, F.lit(True))))
     near = F.coalesce(F.col("da") + F.col("db") <= reach - 2e-9, F.lit(False))
     open_ = rest.where(~near).select("a", "b")
-    crowd = met.where("b is null").select(F.col("a").alias("key"))
     if crowd.limit(1).count():
-        hot_texts = cut(records.join(crowd, "key", "left_semi"))
-        open_ = open_.unionByName(metric_pairs(hot_texts, sk, p, leaf=leaf)).distinct()
+        hot_texts = cut(only(records, cut(crowd.select("key").distinct()), "key"))
+        more = metric_pairs(hot_texts, crowd, p, leaf=leaf).join(sk.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
+        more = more.where(agreement(F.col("sa"), F.col("sb")) >= p.sketch_floor).select("a", "b")
+        open_ = open_.unionByName(more).distinct().join(alike.unionByName(rest.where(near).select("a", "b")), ["a", "b"], "left_anti")
     alike = alike.unionByName(rest.where(near).select("a", "b"))
     return alike.unionByName(distances(cut(open_)).where(F.col("d") <= reach).select("a", "b")).distinct()
 

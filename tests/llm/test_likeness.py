@@ -3,8 +3,9 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from inkweir.llm.likeness import BITS, Likeness, codes_of, jaccard, prefix_keys, shingles, sketch, sketched, values_of
+from inkweir.llm.likeness import BITS, Likeness, codes_of, jaccard, key_rows, prefix_keys, shingles, sketch, sketched, values_of
 from inkweir.llm.neardup import candidates, classes, metric_pairs, near_groups, near_pairs, records_of, representative_pairs
 
 P = Likeness(least=20)
@@ -69,7 +70,7 @@ def test_large_regions_by_metric_join(spark):
     rows = crowd()
     got = {tuple(r) for r in near_pairs(frame(spark, rows), "id", "title", "content", P, block=2, leaf=8).collect()}
     assert got == pairs_of(rows)
-    s = sketched(frame(spark, rows), "id", "title", "content", P).selectExpr("key", f"substring(sketch, 1, {P.glance}) as sketch")
+    s = key_rows(sketched(frame(spark, rows), "id", "title", "content", P), P).withColumn("band", F.lit(0).cast("long"))
     for leaf, levels in ((5, 3), (5, 0), (1000, 3)):
         met = {tuple(r) for r in metric_pairs(records_of(frame(spark, rows), "id", "title", "content"), s, P, pivots=3, leaf=leaf, levels=levels).collect()}
         assert pairs_of(rows) <= met and len(met) < len(rows) * (len(rows) - 1) / 2
@@ -88,7 +89,7 @@ def test_keys_of_many_texts_get_longer_and_lose_no_pair(spark):
 def test_regions_are_reported_once(spark):
     rows = corpus(20)
     s = sketched(frame(spark, rows), "id", "title", "content", P)
-    c = candidates(s, P, 256, np.zeros(0, dtype=np.int64)).collect()
+    c = candidates(s, P, 256, np.zeros(0, dtype=np.int64))[0].collect()
     assert len({(r["a"], r["b"]) for r in c}) == len(c) and all(r["pivot"] <= r["a"] < r["b"] for r in c)
 
 
