@@ -11,6 +11,7 @@ from inkweir.functions import text as T
 from inkweir.functions import urls as U
 from inkweir.operators import classify as C
 from inkweir.operators import identity as I
+from inkweir.operators import ingest as G
 from inkweir.operators import views as V
 from inkweir.sources import html, lists
 
@@ -136,6 +137,62 @@ def dedup_decisions(spark: SparkSession, folder: str) -> DataFrame:
     return I.decisions(_batch(spark, folder))
 
 
+# Candidates of the intake at new addresses, and every policy fetched again with its reviewer's hint put before the text.
+_FETCHED = f"""files as (select policy_id, count(*) files, count(*) filter (parse_status = 'failed') failed, count(*) filter (parse_status = 'ok') whole, count(*) filter (coalesce(parsed_text, '') <> '') n_read from (select distinct id, policy_id, parse_status, parsed_text from attachments) group by 1),
+fetched as (select cand_id seq, page_url url, policy_key natural_key, content, '' error, null::bigint files, null::bigint failed, null::bigint whole, null::bigint n_read, case when contains(content, '项目') then 'yes' else 'no' end relevance, false needs from intake
+  union all select 1000000000 + p.id, page_url, policy_key, coalesce(reviewer_hint, '') || coalesce(content, ''), coalesce(fallback_reason, ''), files, failed, whole, n_read, is_investment_policy, need_review from policies p left join files f on f.policy_id = p.id),
+links as (select page_url url, max(policy_key) lkey from policies group by 1),
+known as (select policy_key kkey, sha256(regexp_replace(coalesce(content, ''), '{BLANK}+', '', 'g')) kdigest, version from policies),
+states as (select policy_key skey, max_by(review_status, version) state from policies group by 1),
+b as (select f.*, sha256(regexp_replace(coalesce(content, ''), '{BLANK}+', '', 'g')) digest, lkey, error <> '' or coalesce(failed, 0) > 0 or coalesce(whole, 0) < coalesce(files, 0) partly, coalesce(files, 0) > 0 and coalesce(n_read, 0) = 0 unread from fetched f left join links l on l.url = f.url),
+c as (select *, case when trim(coalesce(content, '')) = '' and coalesce(files, 0) = 0 then coalesce(nullif(error, ''), 'empty') when lkey is not null and coalesce(failed, 0) > 0 then 'attachment' end why, case when relevance = 'no' and (partly or unread) then 'pending' else relevance end rel, coalesce(lkey, natural_key) as key from b),
+t as (select *, coalesce(rel, '') <> 'no' st, (select max(version) from known where kkey = c.key) top, exists (select 1 from known where kkey = c.key and kdigest = c.digest) recorded from c where why is null),
+u as (select *, min(case when st then seq end) over (partition by key) anchor, min(case when st and lkey is not null then seq end) over (partition by key, digest) upd from t),
+v as (select *, max(case when seq = anchor then digest end) over (partition by key) ad from u),
+w as (select *, case when seq > (case when recorded then -1 when top is not null then upd when digest = ad then anchor end) then 'duplicate_skip' when not st then 'excluded' when top is null and not coalesce(seq > anchor, false) then 'ingested' when lkey is null then 'suspected_duplicate' else 'updated' end decision from v),
+d as (select *, case when decision in ('ingested', 'updated') then coalesce(top, 0) + sum(case when decision in ('ingested', 'updated') then 1 else 0 end) over (partition by key order by seq) when decision = 'suspected_duplicate' then 1 end ver from w),
+e as (select c.seq, c.url, d.key, c.why, c.partly, c.unread, c.rel, c.needs, coalesce(c.failed, 0) > 0 missing, d.decision, d.ver, state, coalesce(d.decision in ('ingested', 'updated', 'suspected_duplicate'), false) kept from c left join d on d.seq = c.seq left join states on skey = d.key),
+o as (select *, case when kept then coalesce(needs, false) or partly or unread or decision in ('suspected_duplicate', 'updated') end nr from e),
+ingest as (select seq, url, case when decision = 'suspected_duplicate' then key || ':variant:' || substring(sha256(url), 1, 16) else key end policy_key, case when decision = 'suspected_duplicate' then key else '' end related_policy_key, cast(ver as bigint) as version,
+  case when why is not null then 'failed' when decision = 'duplicate_skip' and not partly and coalesce(state, '') not in ('confirmed', 'adjusted', 'rejected') then 'reclassified' when decision = 'duplicate_skip' then 'duplicate' else decision end outcome,
+  case when why is not null then 'failed' when decision = 'excluded' then 'excluded' when missing then 'failed' else 'processed' end status, rel relevance, nr need_review,
+  case when kept then case when nr then 'pending' when rel = 'no' then 'rejected' else 'confirmed_auto' end end review_status,
+  concat_ws(';', why, case when kept and partly then 'incomplete' end, case when kept and unread then 'unread' end, case when decision = 'suspected_duplicate' then 'compare' end) note from o)"""
+
+
+def _ingested(spark: SparkSession, folder: str) -> DataFrame:
+    p, c = table(spark, folder, "policies"), table(spark, folder, "intake")
+    state = F.col("parse_status")
+    a = table(spark, folder, "attachments").select("id", "policy_id", "parse_status", "parsed_text").distinct().groupBy("policy_id").agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(state == "failed").alias("failed"), F.count_if(state == "ok").alias("whole"), F.count_if(F.coalesce("parsed_text", F.lit("")) != "").alias("read"))
+    none = [F.lit(None).cast("long").alias(x) for x in ("files", "failed", "whole", "read")]
+    fresh = c.select(F.col("cand_id").alias("seq"), F.col("page_url").alias("url"), F.col("policy_key").alias("natural"), "content", F.lit("").alias("error"), *none, F.when(F.col("content").contains("项目"), "yes").otherwise("no").alias("relevance"), F.lit(False).alias("needs"))
+    text = F.concat(F.coalesce("reviewer_hint", F.lit("")), F.coalesce("content", F.lit("")))
+    again = p.join(a.withColumnRenamed("policy_id", "id"), "id", "left").select((F.col("id") + 1000000000).alias("seq"), F.col("page_url").alias("url"), F.col("policy_key").alias("natural"), text.alias("content"), F.coalesce("fallback_reason", F.lit("")).alias("error"), "files", "failed", "whole", "read", F.col("is_investment_policy").alias("relevance"), F.col("need_review").alias("needs"))
+    batch = fresh.unionByName(again).withColumn("digest", T.fingerprint(F.col("content")))
+    links = p.groupBy(F.col("page_url").alias("url")).agg(F.max("policy_key").alias("key"))
+    known = p.select(F.col("policy_key").alias("key"), T.fingerprint(F.col("content")).alias("digest"), "version")
+    states = p.groupBy(F.col("policy_key").alias("key")).agg(F.max_by("review_status", "version").alias("review_status"))
+    return G.ingest_decisions(batch, links, known, states, again=True)
+
+
+@query(f"with {_FETCHED} select * from ingest")
+def ingest_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """What becomes of the intake's candidates and of all stored pages fetched again."""
+    return _ingested(spark, folder)
+
+
+@query(f"with {_FETCHED} select outcome, count(*) as n, cast(count(*) filter (need_review) as bigint) as need_review from ingest group by 1")
+def ingest_counters(spark: SparkSession, folder: str) -> DataFrame:
+    return G.counters(_ingested(spark, folder))
+
+
+@query("select id, case when need_review then 'pending' when is_investment_policy = 'no' then 'rejected' else 'confirmed_auto' end as review_status, case when trim(coalesce(content, '')) = '' then 'empty' else '' end as problem, coalesce(nullif(title, ''), '待核实标题') as title from policies")
+def review_status_derived(spark: SparkSession, folder: str) -> DataFrame:
+    """The state each record has before anyone looks at it, whether it can be taken, and the title it gets."""
+    return table(spark, folder, "policies").select("id", G.review_status(F.col("need_review"), F.col("is_investment_policy")).alias("review_status"), G.valid(F.col("content"), F.lit(0), F.lit("")).alias("problem"), G.named(F.col("title"), F.lit(None)).alias("title"))
+
+
 @query(f"with {_BATCH}, f as (select *, row_number() over (partition by natural_key, digest order by seq) = 1 first_seen from b) select seq, natural_key as key, cast(sum(cast(first_seen as int)) over (partition by natural_key order by seq) as bigint) as version from f")
 def snapshot_versions(spark: SparkSession, folder: str) -> DataFrame:
     return I.snapshot_versions(_batch(spark, folder), "natural", "seq", "digest").select("seq", F.col("natural").alias("key"), "version")
@@ -259,9 +316,10 @@ def provenance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""select distinct p.id as policy_id, f.id as fetch_id, f.source_id, f.page_url from policies p join fetch_records f on f.id = p.source_fetch_id
-where not exists (select 1 from policy_sources s where s.policy_id = p.id and s.source_id = f.source_id and s.page_url = f.page_url)""")
+where not exists (select 1 from policy_sources s where s.fetch_id is null and s.policy_id = p.id and s.source_id = f.source_id and s.page_url = f.page_url)""")
 def provenance_backfill(spark: SparkSession, folder: str) -> DataFrame:
-    return V.backfilled(table(spark, folder, "policy_sources"), table(spark, folder, "policies"), table(spark, folder, "fetch_records"))
+    """Links that the stored policies imply beside those recorded without a fetch, as before links had fetches."""
+    return V.backfilled(table(spark, folder, "policy_sources").where("fetch_id is null"), table(spark, folder, "policies"), table(spark, folder, "fetch_records"))
 
 
 @query("select policy_id, source_id, page_url, strftime(max(last_seen_at), '%Y-%m-%d %H:%M:%S') as last_seen_at from policy_sources where policy_id is not null and source_id is not null and page_url is not null group by 1, 2, 3")

@@ -28,12 +28,15 @@ def get_spark(app: str = "inkweir", master: str | None = None, **conf: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (unset, as in tests) a new local folder."""
+    """The folder all executors share: spark.checkpoint.dir, else, in a local session only, a new folder of this machine."""
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkweir-shared-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="inkweir-shared-")
     sc.setCheckpointDir(folder)
     return folder
 
