@@ -357,8 +357,10 @@ def evaluate_labels(spark: SparkSession, folder: str) -> DataFrame:
     """The lexicon's results against the reviewed records."""
     status = F.col("review_status")
     own = F.filter(F.split(F.coalesce("category", F.lit("")), ","), lambda x: x.isin(*CODES))
-    gold = table(spark, folder, "policies").where(status.isin("confirmed", "adjusted", "rejected")).select("id", (status != "rejected").alias("relevant"), F.when(status == "rejected", F.array().cast("array<string>")).otherwise(own).alias("categories"))
-    return C.evaluated(gold, lexicon_labels(spark, folder).select("id", "relevance", "category", F.lit("rule").alias("method")))
+    reviewed = table(spark, folder, "policies").where(status.isin("confirmed", "adjusted", "rejected"))  # only these are labelled
+    gold = reviewed.select("id", (status != "rejected").alias("relevant"), F.when(status == "rejected", F.array().cast("array<string>")).otherwise(own).alias("categories"))
+    made = C.labelled(reviewed.select("id", "title", "content"), "title", "content", LEXICON)
+    return C.evaluated(gold, made.select("id", "relevance", "category", F.lit("rule").alias("method")))
 
 
 @query("select id, cast(g.i as int) as idx, cast(greatest(1, ceil(length(coalesce(content, '')) / 500.0)) as int) as n_chunks, length(coalesce(content, '')) > 4000 as truncated, substring(coalesce(content, ''), g.i * 500 + 1, 500) as chunk from policies, lateral (select unnest(range(0, least(8, cast(greatest(1, ceil(length(coalesce(content, '')) / 500.0)) as bigint)))) i) g")
