@@ -32,7 +32,7 @@ class Likeness:
     least: int = 80
     bins: int = 128
     bands: int = 40
-    depth: int = 4
+    depth: int = 3
     #: Values (their low bytes) of a sketch that a pair is compared by first.
     glance: int = 64
     #: Pairs whose sketches agree less than this are not compared in full.
