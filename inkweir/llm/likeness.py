@@ -124,7 +124,8 @@ def prefix_keys(values: np.ndarray, p: Likeness) -> np.ndarray:
     """(texts, bands, depth - 1) 64-bit keys of 2 to `depth` values of each band."""
     picked = values[:, _bands(p)].astype(np.uint64)
     out = np.empty((*picked.shape[:2], p.depth - 1), dtype=np.uint64)
-    h = np.broadcast_to(np.arange(p.bands, dtype=np.uint64) + np.uint64(1), picked.shape[:2]).copy()
+    # The band's number lies above the values, else two bands of a text could have one key and the text would meet itself.
+    h = np.broadcast_to((np.arange(p.bands, dtype=np.uint64) + np.uint64(1)) << np.uint64(32), picked.shape[:2]).copy()
     with np.errstate(over="ignore"):
         for k in range(p.depth):
             h = (h ^ (picked[:, :, k] + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
@@ -181,9 +182,24 @@ def sketched(df: DataFrame, key: str, title: str, content: str, p: Likeness = Li
     return own.where(F.length("content") >= p.least).mapInPandas(run, "key long, digest binary, sketch binary")
 
 
+#: Two bits of each of 128 values of a sketch: the last ones (s1, s2) and those before them (s3, s4).
+SIGNS = ("s1", "s2", "s3", "s4")
+#: Of the 128 last bits of two texts, those that may differ at most; at likeness 0.6 a fifth differ.
+BITS = 52
+#: Of the 128 values, those that may differ in one of their two bits; at likeness 0.6 three tenths differ.
+APART = 66
+
+
+def signs_of(values: np.ndarray) -> np.ndarray:
+    """(texts, 4) the SIGNS of (texts, bins) values."""
+    two = np.stack([values & 1, values >> 1 & 1], axis=1)[:, :, :128].astype(np.uint8)
+    packed = np.packbits(np.pad(two, ((0, 0), (0, 0), (0, 128 - two.shape[2]))), axis=2)
+    return np.ascontiguousarray(packed).reshape(len(values), 32).view(np.int64)
+
+
 def key_rows(reps: DataFrame, p: Likeness = Likeness(), hot: np.ndarray | None = None, take: str = "cold", more: str = "") -> DataFrame:
-    """(key, more, s1, s2, band): a row for each key of (key, sketch) that isn't hot at full length (`cold`), is (`full`), or
-    for all. s1 and s2 hold the last bit of each value, so that pairs can be told to be unlike where they meet. `more`: long columns to keep."""
+    """(key, more, SIGNS, band): a row for each key of (key, sketch) that isn't hot at full length (`cold`), is (`full`), or
+    for all. By the signs pairs can be told to be unlike where they meet. `more`: long columns to keep."""
     kept = ["key", *more.split()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,17 +208,81 @@ def key_rows(reps: DataFrame, p: Likeness = Likeness(), hot: np.ndarray | None =
                 continue
             values = values_of(b["sketch"], p.bins)
             keys, full = routed(prefix_keys(values, p), np.zeros(0, dtype=np.int64) if hot is None else hot)
-            bits = np.packbits((values & 1).astype(np.uint8)[:, :128], axis=1)
-            bits = np.pad(bits, ((0, 0), (0, 16 - bits.shape[1]))).view(np.int64)
+            signs = signs_of(values)
             wanted = ~full if take == "cold" else full if take == "full" else np.ones_like(full)
             n = wanted.sum(axis=1)
-            yield pd.DataFrame({**{k: np.repeat(b[k].to_numpy(), n) for k in kept}, "s1": np.repeat(bits[:, 0], n), "s2": np.repeat(bits[:, 1], n), "band": keys[wanted]})
-
-    return reps.select(*kept, "sketch").mapInPandas(run, ", ".join(f"{k} long" for k in (*kept, "s1", "s2", "band")))
-
-
-#: Of the 128 bits of two texts, those that may differ at most; at likeness 0.6 a fifth differ, five standard deviations less.
-BITS = 48
+            yield pd.DataFrame({**{k: np.repeat(b[k].to_numpy(), n) for k in kept}, **{k: np.repeat(signs[:, i], n) for i, k in enumerate(SIGNS)}, "band": keys[wanted]})
+
+    return reps.select(*kept, "sketch").mapInPandas(run, ", ".join(f"{k} long" for k in (*kept, *SIGNS, "band")))
+
+
+def alike_signs(mine: tuple[str, ...], other: tuple[str, ...]) -> Column:
+    """Whether two rows of SIGNS allow the likeness."""
+    x = [F.col(a).bitwiseXOR(F.col(b)) for a, b in zip(mine, other)]
+    return (F.bit_count(x[0]) + F.bit_count(x[1]) <= BITS) & (F.bit_count(x[0].bitwiseOR(x[2])) + F.bit_count(x[1].bitwiseOR(x[3])) <= APART)
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], column: str, most: int | None = None) -> Iterator[tuple[pd.DataFrame, bool]]:
+    """Rows that come sorted by `column`, in frames of whole groups (False), or of some rows of groups of more than `most` (True)."""
+    held, over = None, None
+    for b in batches:
+        if over is not None and len(b):
+            n = int(np.argmin(np.append(b[column].to_numpy() == over, False)))
+            if n:
+                yield b[:n], True
+            b = b[n:]
+        if not len(b):
+            continue
+        over = None
+        held = b if held is None else pd.concat([held, b])
+        key = held[column].to_numpy()
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(start, len(key)))
+        large = np.repeat(size > (most or len(key)), size)
+        done = np.arange(len(key)) < start[-1]
+        if large[-1]:
+            over, done = key[-1], np.ones_like(done)
+        for frame, crowded in ((held[done & large], True), (held[done & ~large], False)):
+            if len(frame):
+                yield frame, crowded
+        held = None if done.all() else held[~done]
+    if held is not None:
+        yield held, False
+
+
+def alike_rows(group: np.ndarray, signs: np.ndarray, small: int = 64, cells: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j: all rows of the same group, which lie together, whose SIGNS (rows, 4) allow the likeness.
+
+    Small groups are held against themselves moved by one row, two rows and so on, all at once; others in blocks of `cells` pairs.
+    """
+    s = [np.ascontiguousarray(signs[:, k]).view(np.uint64) for k in range(4)]
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+
+    def keep(i: np.ndarray, j: np.ndarray, low: np.ndarray) -> None:
+        i, j = i[low <= BITS], j[low <= BITS]
+        both = np.bitwise_count((s[0][i] ^ s[0][j]) | (s[2][i] ^ s[2][j])) + np.bitwise_count((s[1][i] ^ s[1][j]) | (s[3][i] ^ s[3][j]))
+        left.append(i[both <= APART])
+        right.append(j[both <= APART])
+
+    if not len(group):
+        return left[0], right[0]
+    start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    size = np.diff(np.append(start, len(group)))
+    end = np.repeat(start + size, size)
+    i, d = np.flatnonzero((np.arange(len(group)) + 1 < end) & np.repeat(size <= small, size)), 1
+    while len(i):
+        keep(i, i + d, np.bitwise_count(s[0][i] ^ s[0][i + d]) + np.bitwise_count(s[1][i] ^ s[1][i + d]))
+        d += 1
+        i = i[i + d < end[i]]
+    for a, z in zip(start[size > small], (start + size)[size > small]):
+        step = max(1, cells // int(z - a))
+        for x in range(a, z, step):
+            own = slice(x, min(x + step, z))
+            low = np.bitwise_count(s[0][own, None] ^ s[0][None, x:z]) + np.bitwise_count(s[1][own, None] ^ s[1][None, x:z])
+            i, j = np.nonzero(low <= BITS)
+            i, j = i[i < j] + x, j[i < j] + x
+            keep(i, j, np.zeros(len(i), dtype=np.uint8))
+    return np.concatenate(left), np.concatenate(right)
 
 
 def only(rows: DataFrame, keys: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
@@ -234,21 +314,21 @@ def hot_keys(sketches: DataFrame, p: Likeness, probe: int, least: int) -> np.nda
     return np.sort(found["key"].to_numpy(np.int64))
 
 
-def next_key(sketch_column: Column, key: Column, p: Likeness = Likeness()) -> Column:
-    """The key of one more value than `key`, one of the keys of the sketch; null where it is of full length."""
+def lengthened(rows: DataFrame, p: Likeness = Likeness()) -> DataFrame:
+    """(key, SIGNS, band, full) of rows (key, band, sketch): the key of one more value than `band`; the same where it is of full length."""
 
-    @F.pandas_udf("long")
-    def run(s: pd.Series, k: pd.Series) -> pd.Series:
-        if not len(s):
-            return pd.Series([], dtype="Int64")
-        keys = prefix_keys(values_of(s, p.bins), p)
-        own = keys == k.to_numpy(np.int64)[:, None, None]
-        more = np.zeros_like(own)
-        more[:, :, 1:] = own[:, :, :-1]
-        found = more.any(axis=(1, 2))
-        return pd.Series(np.where(found, np.where(more, keys, 0).sum(axis=(1, 2)), 0)).astype("Int64").where(pd.Series(found))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            values = values_of(b["sketch"], p.bins)
+            keys, band = prefix_keys(values, p), b["band"].to_numpy(np.int64)
+            own = keys[:, :, :-1] == band[:, None, None]
+            full = ~own.any(axis=(1, 2))
+            longer = np.where(own, keys[:, :, 1:], 0).sum(axis=(1, 2))
+            yield pd.DataFrame({"key": b["key"], **dict(zip(SIGNS, signs_of(values).T)), "band": np.where(full, band, longer), "full": full})
 
-    return run(sketch_column, key)
+    return rows.select("key", "band", "sketch").mapInPandas(run, ", ".join(f"{k} long" for k in ("key", *SIGNS, "band")) + ", full boolean")
 
 
 def agreement(a: Column, b: Column) -> Column:

@@ -10,21 +10,20 @@ are replicated, and the parts join recursively and exactly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkweir.llm.likeness import BITS, Likeness, agreement, exact, hot_keys, jaccard, key_rows, next_key, only, set_of, sketched
+from inkweir.llm.likeness import SIGNS, Likeness, agreement, alike_rows, alike_signs, exact, jaccard, key_rows, lengthened, only, set_of, sketched, whole_groups
 from inkweir.llm.sampling import FINE
 from inkweir.session import cut
 
-#: Keys of more texts than this get longer; of full length, their texts go to the recursive metric join.
-BLOCK = 16
-#: Distinct texts, and how many of them hold a key, by which keys start longer.
-PROBE, LEAST = 32768, 6
+#: Keys of more texts than this get longer; of full length, FULL times as many are compared where they meet, and the texts
+#: of keys with more go to the recursive metric join.
+BLOCK, FULL = 1024, 4
 #: Pivots of a region, texts of a region that isn't split, levels of splitting, rows that are placed together.
 PIVOTS, LEAF, LEVELS, TOGETHER = 12, 256, 6, 2000
 
@@ -35,31 +34,47 @@ def classes(sketches: DataFrame) -> DataFrame:
     return sketches.select("key", "digest").join(reps, "digest").select("key", "rep")
 
 
+def _meet(most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """From rows (key, SIGNS, band) sorted by band and key to (a, b, pivot, band, met): pairs of a key that may be alike, or, with met
+    false, the texts `a` of a key of more than `most`. The pivot of a pair is the smallest text that may be alike to both, or a."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, crowded in whole_groups(batches, "band", most):
+            key, band = rows["key"].to_numpy(np.int64), rows["band"].to_numpy(np.int64)
+            if crowded:
+                yield pd.DataFrame({"a": key, "b": key, "pivot": key, "band": band, "met": False})
+                continue
+            i, j = alike_rows(band, rows[list(SIGNS)].to_numpy(np.int64))
+            first = np.arange(len(key))
+            np.minimum.at(first, j, i)
+            first, n = first[j], len(key)
+            pivot = np.where(np.isin(first * n + i, i * n + j), first, i)
+            yield pd.DataFrame({"a": key[i], "b": key[j], "pivot": key[pivot], "band": band[i], "met": True}).drop_duplicates(["a", "b"])
+
+    return run
+
+
 def candidates(reps: DataFrame, p: Likeness, block: int, hot: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(a, b, pivot): a < b share a key whose smallest text is `pivot`, each pair once; and
-    (key, s1, s2, band): the texts of keys that have more than `block` texts at full length.
+    """(a, b, pivot): a < b share a key and may be alike by their signs, each pair once; and
+    (key, SIGNS, band): the texts of keys that have more than FULL * `block` texts at full length.
 
-    One exchange by key: a row takes the next texts of its key from a frame of at most `block`. Keys of more texts are
-    exchanged again with one more value, only for those texts.
+    One exchange by key, then the texts of a key are compared by their signs in the task that has them. Keys of more than
+    `block` texts, counted there, are exchanged again with one more value, only for those texts. Keys in `hot` start longer.
     """
-    sketch = F.col("sketch")
     rows = key_rows(reps, p, hot)
     crowd = key_rows(reps, p, hot, "full") if len(hot) else rows.limit(0)
-    own, all_ = Window.partitionBy("band").orderBy("key"), Window.partitionBy("band")
     pairs = None
-    while True:
-        n = rows.withColumn("next", F.collect_list(F.struct("key", "s1", "s2")).over(own.rowsBetween(1, block))).withColumn("pivot", F.min("key").over(all_)).withColumn("n", F.count(F.lit(1)).over(all_)).where("n > 1")
-        unlike = lambda x: F.bit_count(x["s1"].bitwiseXOR(F.col("s1"))) + F.bit_count(x["s2"].bitwiseXOR(F.col("s2")))
-        met = F.when(F.col("n") <= block, F.transform(F.filter("next", lambda x: unlike(x) <= BITS), lambda x: x["key"]))
-        held = cut(n.select("key", "band", "s1", "s2", "pivot", met.alias("next")).where("next is null or size(next) > 0"))
-        met = held.select(F.col("key").alias("a"), F.explode("next").alias("b"), "pivot")
+    for level in range(p.depth - 1):
+        last = level == p.depth - 2
+        held = cut(rows.repartition("band").sortWithinPartitions("band", "key").mapInPandas(_meet(FULL * block if last else block), "a long, b long, pivot long, band long, met boolean"))
+        met = held.where("met").select("a", "b", "pivot")
         pairs = met if pairs is None else pairs.unionByName(met)
-        more = held.where("next is null").select("key", "band", "s1", "s2")
+        more = held.where("not met").select(F.col("a").alias("key"), "band")
         if not more.limit(1).count():
             break
-        longer = cut(more.join(reps.select("key", "sketch"), "key").select("key", "s1", "s2", "band", next_key(sketch, F.col("band"), p).alias("longer")))
-        crowd = crowd.unionByName(longer.where("longer is null").drop("longer"))
-        rows = longer.where("longer is not null").select("key", "s1", "s2", F.col("longer").alias("band"))
+        longer = cut(lengthened(more.join(reps.select("key", "sketch"), "key"), p))
+        crowd = crowd.unionByName(longer.where("full").drop("full"))
+        rows = longer.where("not full").drop("full")
     return pairs.groupBy("a", "b").agg(F.min("pivot").alias("pivot")), crowd
 
 
@@ -69,17 +84,17 @@ def _windows(a: str, b: str, reach: float) -> Column:
 
 
 def metric_pairs(texts: DataFrame, regions: DataFrame, p: Likeness, pivots: int = PIVOTS, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
-    """(a, b), a < b: every pair of a region (key, s1, s2, band) that may be within the distance, and no pair missed.
+    """(a, b), a < b: every pair of a region (key, SIGNS, band) that may be within the distance, and no pair missed.
 
     `texts`: (key, title, content). Regions start as those of the keys. All regions of a level are placed in one pass. A region of more than `leaf` texts gets up to `pivots` of them, by
     hash; each text lives with its nearest pivot and, by the triangle inequality, visits those whose radius it comes near
     enough to. A part that keeps nearly all texts of its region isn't split further: there the windows on the distances
-    to all pivots, and the bits, decide which pairs are left. Regions pair as equi-joins, salted by the home side.
+    to all pivots, and the signs, decide which pairs are left. Regions pair as equi-joins, salted by the home side.
     """
     reach = 1 - p.threshold
     text = texts.select("key", "title", "content")
     none = F.array().cast("array<double>")
-    bits = cut(regions.select("key", "s1", "s2").distinct())
+    signs = cut(regions.select("key", *SIGNS).distinct())
     rows = regions.select(F.col("band").cast("string").alias("region"), "key").distinct().select("*", F.lit(True).alias("home"), none.alias("far"), F.lit(None).cast("long").alias("was"))
     done: list[DataFrame] = []
     for level in range(levels + 1):
@@ -110,23 +125,19 @@ def metric_pairs(texts: DataFrame, regions: DataFrame, p: Likeness, pivots: int
     all_ = done[0]
     for x in done[1:]:
         all_ = all_.unionByName(x)
-    salts = F.ceil(F.col("n") / leaf).cast("int")
-    glanced = all_.join(bits, "key")
-    homes = glanced.where("home").select("region", F.col("key").alias("x"), F.pmod(F.xxhash64("key"), salts).cast("int").alias("salt"), F.col("far").alias("fx"), "s1", "s2")
-    guests = glanced.select("region", F.col("key").alias("y"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("far").alias("fy"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    unlike = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-    met = homes.join(guests, ["region", "salt"]).where((F.col("x") != F.col("y")) & (unlike <= BITS) & _windows("fx", "fy", reach))
+    salts, theirs = F.ceil(F.col("n") / leaf).cast("int"), ("t1", "t2", "t3", "t4")
+    glanced = all_.join(signs, "key")
+    homes = glanced.where("home").select("region", F.col("key").alias("x"), F.pmod(F.xxhash64("key"), salts).cast("int").alias("salt"), F.col("far").alias("fx"), *SIGNS)
+    guests = glanced.select("region", F.col("key").alias("y"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("far").alias("fy"), *(F.col(k).alias(t) for k, t in zip(SIGNS, theirs)))
+    met = homes.join(guests, ["region", "salt"]).where((F.col("x") != F.col("y")) & alike_signs(SIGNS, theirs) & _windows("fx", "fy", reach))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def representative_pairs(records: DataFrame, sketches: DataFrame, p: Likeness = Likeness(), block: int = BLOCK, hot: np.ndarray | None = None, leaf: int = LEAF) -> DataFrame:
     """(a, b), a < b: the representatives alike by the threshold. records: (key, title, content)."""
     reps = sketches.groupBy("digest").agg(F.min(F.struct("key", "sketch")).alias("x")).select("x.key", "x.sketch")
-    met, crowd = candidates(reps, p, block, hot_keys(sketches, p, PROBE, LEAST) if hot is None else hot)
-    crowd = cut(crowd)
-    sk = reps.select("key", F.substring("sketch", 1, p.glance).alias("sketch"))
-    two = met.join(sk.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
-    likely = cut(two.where(agreement(F.col("sa"), F.col("sb")) >= p.sketch_floor).select("a", "b", "pivot"))
+    met, crowd = candidates(reps, p, block, np.zeros(0, dtype=np.int64) if hot is None else hot)
+    crowd, likely = cut(crowd), cut(met)
 
     def distances(pairs: DataFrame) -> DataFrame:
         texts = cut(only(records, cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "key"))
@@ -145,6 +156,7 @@ def representative_pairs(records: DataFrame, sketches: DataFrame, p: Likeness =
     near = F.coalesce(F.col("da") + F.col("db") <= reach - 2e-9, F.lit(False))
     open_ = rest.where(~near).select("a", "b")
     if crowd.limit(1).count():
+        sk = reps.select("key", F.substring("sketch", 1, p.glance).alias("sketch"))
         hot_texts = cut(only(records, cut(crowd.select("key").distinct()), "key"))
         more = metric_pairs(hot_texts, crowd, p, leaf=leaf).join(sk.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
         more = more.where(agreement(F.col("sa"), F.col("sb")) >= p.sketch_floor).select("a", "b")
