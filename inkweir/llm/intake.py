@@ -2,9 +2,9 @@
 
 The store holds all that a later batch needs: the marks of every record (digest of its content, skeletons of its issuing
 number and its key), postings of its content's fingerprints, and the records themselves by the place they were written to.
-Fingerprints are minima of hash ranges, combined into keys; postings carry 128 bits of each sketch. A batch is staged once;
+Fingerprints are minima of hash ranges, combined into keys; postings carry two bits of each of 128 values of the sketch. A batch is staged once;
 its keys and marks are screened by the Bloom filters of their partition, positives are looked up in the files of those
-partitions only, shared coverage is told by the bits, and the survivors' texts are read from the places the postings
+partitions only, shared coverage is told by these bits, and the survivors' texts are read from the places the postings
 name. Then the batch is absorbed: its postings, marks and filters become a segment of the store, and segments of equal
 rank are merged, so their number stays logarithmic. History is neither fingerprinted nor grouped again.
 """
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkweir.llm.likeness import BITS, Likeness, codes_of, exact, hot_keys, key_rows, only, shingles, sketch
+from inkweir.llm.likeness import SIGNS, Likeness, alike_rows, alike_signs, codes_of, crowded_keys, exact, key_rows, only, shingles, sketch, whole_groups
 from inkweir.llm.skeletons import skeleton_of
 from inkweir.session import cut, shared_dir
 
@@ -29,12 +29,12 @@ BITS_PER_KEY = 12
 HASHES = 4
 #: A first look verifies at most so many known texts for each candidate; candidates it leaves open see all.
 WITNESSES = 4
-#: Texts of a key that the first lookup takes from a segment of the store.
+#: Rows of a key in a batch up to which they are held against each other all keys at once; 4,096 times GROUPS pairs of more at once.
+PREVIOUS, GROUPS = 64, 64
+#: Texts that hold a key, by which the store's keys start longer.
+LEAST = 512
+#: Not read any more, as a lookup takes all texts of a key; tests set it.
 FIRST = 8
-#: Earlier rows of a key that a window takes, and the groups into which the rows of a key with more are split.
-PREVIOUS, GROUPS = 32, 64
-#: Distinct texts, and how many of them hold a key, by which the store's keys start longer.
-PROBE, LEAST = 32768, 6
 #: Keys of a Bloom filter that are screened together; segments of one rank that are merged.
 TOGETHER, FAN = 200_000, 4
 #: Bytes of a segment's filters up to which they go to every task.
@@ -101,10 +101,6 @@ def may_hold(filters: list[bytes], keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _alike(a1: str, a2: str, b1: str, b2: str) -> Column:
-    return F.bit_count(F.col(a1).bitwiseXOR(F.col(b1))) + F.bit_count(F.col(a2).bitwiseXOR(F.col(b2))) <= BITS
-
-
 class FingerprintStore:
     """A store in a folder that all executors share. One writer at a time; a lost job leaves it whole.
 
@@ -117,6 +113,7 @@ class FingerprintStore:
     def __init__(self, spark: SparkSession, folder: str | None = None, partitions: int | None = None, p: Likeness = Likeness()) -> None:
         self.spark, self.p = spark, p
         self.partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._hot: np.ndarray | None = None
         self.folder = folder or f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
 
     def _fs(self, name: str):  # noqa: ANN202
@@ -152,25 +149,30 @@ class FingerprintStore:
     def _table(self, kind: str, segment: str) -> str:
         return "inkweir_" + hashlib.md5(f"{self.folder}/{kind}/{segment}".encode()).hexdigest()
 
-    def _read(self, kind: str, segment: str, parts: list[int] | None = None) -> DataFrame:
-        """Rows of a segment: of some buckets only, from their files, or known to the planner as bucketed by key."""
-        columns, key = {"postings": ("band BIGINT, nth INT, doc BIGINT, loc BIGINT, s1 BIGINT, s2 BIGINT", "band"), "marks": ("mark BIGINT, proof BIGINT", "mark")}[kind]
+    def _read(self, kind: str, segment: str, parts: list[int] | None = None, signs: bool = False) -> DataFrame:
+        """Rows of a segment: of some buckets only, from their files, or known to the planner as bucketed by key. `signs`: with all four SIGNS."""
+        columns, key = {"postings": ("band BIGINT, nth INT, doc BIGINT, loc BIGINT, s1 BIGINT, s2 BIGINT, s3 BIGINT, s4 BIGINT", "band"), "marks": ("mark BIGINT, proof BIGINT", "mark")}[kind]
         if parts is not None:
             files = [f"{self.folder}/{kind}/{segment}/{n}" for n in self._names(f"{kind}/{segment}") if (m := re.search(r"_(\d{5,})\.c\d", n)) and int(m.group(1)) in set(parts)]
-            return self.spark.read.schema(columns).parquet(*files) if files else self.spark.createDataFrame([], columns)
-        name, n = self._table(kind, segment), int(segment.split("-")[2])
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {n} BUCKETS LOCATION '{self.folder}/{kind}/{segment}'")
-        return self.spark.table(name)
-
-    def met(self, kind: str, segment: str, keys: DataFrame, key: str) -> DataFrame:
+            out = self.spark.read.schema(columns).parquet(*files) if files else self.spark.createDataFrame([], columns)
+        else:
+            name, n = self._table(kind, segment), int(segment.split("-")[2])
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {n} BUCKETS LOCATION '{self.folder}/{kind}/{segment}'")
+            out = self.spark.table(name)
+        return out if signs else out.drop("s3", "s4")
+
+    def met(self, kind: str, segment: str, keys: DataFrame, key: str, signs: bool = False) -> DataFrame:
         """Rows of a segment that can meet `keys`: the buckets of few keys only, by one bounded list of bucket numbers."""
         n = int(segment.split("-")[2])
         parts = [r["part"] for r in keys.select(_part(key, n).alias("part")).distinct().limit(n).collect()]
-        return self._read(kind, segment, parts if len(parts) <= n // 2 else None)
+        return self._read(kind, segment, parts if len(parts) <= n // 2 else None, signs)
 
     def hot(self) -> np.ndarray | None:
+        """Sorted keys that start longer, at most bands / LEAST for each text of the first stage."""
         path, fs = self._fs("hot")
-        return np.sort(self.spark.read.schema("key long").parquet(f"{self.folder}/hot").toPandas()["key"].to_numpy(np.int64)) if fs.exists(path) else None
+        if self._hot is None and fs.exists(path):
+            self._hot = np.sort(self.spark.read.schema("key long").parquet(f"{self.folder}/hot").toPandas()["key"].to_numpy(np.int64))
+        return self._hot
 
     def stage(self, rows: DataFrame) -> int:
         """Fingerprint rows (doc, batch, cand, title, content, wenhao, policy_key) and write them; docs must be new. No shuffle."""
@@ -178,9 +180,7 @@ class FingerprintStore:
         seq = last + 1
         fingerprinted(rows, self.p).withColumn("loc", F.lit(seq * TASKS) + F.spark_partition_id()).write.mode("overwrite").option("compression", "zstd").partitionBy("loc").parquet(f"{self.folder}/records/seq={seq}")
         if self.hot() is None:
-            own = self.records(seqs=[seq]).where("sketch is not null").select("digest", "sketch")
-            found = hot_keys(own, self.p, PROBE, LEAST)
-            self.spark.createDataFrame(pd.DataFrame({"key": found}), "key long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/hot")
+            crowded_keys(self.records(seqs=[seq]).where("sketch is not null"), self.p, LEAST).write.mode("overwrite").parquet(f"{self.folder}/hot")
         return seq
 
     def records(self, seqs: list[int] | None = None, locs: list[int] | None = None) -> DataFrame:
@@ -192,7 +192,7 @@ class FingerprintStore:
         return self.spark.read.schema(RECORD + ", loc long").option("basePath", base).parquet(*paths).drop("seq") if paths else empty
 
     def keys(self, records: DataFrame, *more: str) -> DataFrame:
-        """(band, s1, s2, doc, loc, more) of the records that have a sketch."""
+        """(band, SIGNS, doc, loc, more) of the records that have a sketch."""
         own = records.where("sketch is not null").select(F.col("doc").alias("key"), "loc", *more, "sketch")
         return key_rows(own, self.p, self.hot(), take="all", more=" ".join(("loc", *more))).withColumnRenamed("key", "doc")
 
@@ -202,24 +202,24 @@ class FingerprintStore:
     def absorb(self, seq: int) -> None:
         """Make a stage known: one exchange of its keys, then its marker; then merge segments of one rank."""
         own = self.records(seqs=[seq])
-        self._publish(f"{seq:08d}-{seq:08d}-{self.partitions}", self.keys(own).select("band", "doc", "loc", "s1", "s2"), self.marks(own).select("mark", "proof"))
+        self._publish(f"{seq:08d}-{seq:08d}-{self.partitions}", self.keys(own), self.marks(own).select("mark", "proof"))
         tail = self.segments()
         rank = lambda n: int(n.split("-")[1]) - int(n.split("-")[0])
         while len(tail) >= FAN and len({rank(n) for n in tail[-FAN:]}) == 1:
             some = tail[-FAN:]
             postings, marks = (self._all(kind, some) for kind in ("postings", "marks"))
-            self._publish(f"{some[0].split('-')[0]}-{some[-1].split('-')[1]}-{sum(int(n.split('-')[2]) for n in some)}", postings.drop("nth"), marks)
+            self._publish(f"{some[0].split('-')[0]}-{some[-1].split('-')[1]}-{sum(int(n.split('-')[2]) for n in some)}", postings, marks)
             tail = self.segments()
 
     def _all(self, kind: str, segments: list[str]) -> DataFrame:
-        out = self._read(kind, segments[0])
+        out = self._read(kind, segments[0], signs=True)
         for n in segments[1:]:
-            out = out.unionByName(self._read(kind, n))
+            out = out.unionByName(self._read(kind, n, signs=True))
         return out
 
     def _publish(self, name: str, keys: DataFrame, marks: DataFrame) -> None:
         n = int(name.split("-")[2])
-        rows = keys.select("band", "doc", "loc", "s1", "s2").repartition(n, "band").sortWithinPartitions("band", "doc").mapInPandas(_numbered, "band long, nth int, doc long, loc long, s1 long, s2 long")
+        rows = keys.select("band", F.floor(F.col("loc") / TASKS).cast("int").alias("nth"), "doc", "loc", *SIGNS).repartition(n, "band")  # nth: its stage
         for kind, df, key in (("postings", rows, "band"), ("marks", marks.distinct().repartition(n, "mark"), "mark")):
             self.spark.sql(f"DROP TABLE IF EXISTS {self._table(kind, name)}")
             df.write.format("parquet").mode("overwrite").bucketBy(n, key).sortBy(key).option("path", f"{self.folder}/{kind}/{name}").saveAsTable(self._table(kind, name))
@@ -291,14 +291,13 @@ class FingerprintStore:
         seen = cut(seen.distinct())
         same = seen.where("t = 'd'")
 
-        batch_keys = cut(self.keys(own, "batch", "cand"))
-        opened = batch_keys.join(same.select("doc"), "doc", "left_anti").select("band", "s1", "s2", F.col("doc").alias("mine"))
-        positives = {s: cut(self.prescreen("postings", s, opened, "band")) for s in self.segments()}
-        inner, many = earlier_in_batch(batch_keys)
-        still = opened.select("mine").distinct()
-        hits = inner.join(still, "mine", "left_semi")
-        for s, positive in positives.items():
-            hits = hits.unionByName(self.lookup(s, positive, FIRST))
+        some = own.select("doc", "loc", "batch", "cand", "sketch")
+        fresh = some.join(same.select("doc"), "doc", "left_anti")
+        still = fresh.select(F.col("doc").alias("mine"))
+        hits = earlier_in_batch(self.keys(some, "batch", "cand")).join(still, "mine", "left_semi")
+        opened = self.keys(fresh).select("band", *SIGNS, F.col("doc").alias("mine"))
+        for s in self.segments():
+            hits = hits.unionByName(self.lookup(s, cut(self.prescreen("postings", s, opened, "band"))))
         hits = cut(hits.groupBy("mine", "doc", "loc").agg(F.sum("n").alias("n")))
         here = own.select(F.col("doc").alias("mine"), F.col("title").alias("ta"), F.col("content").alias("ca"))
 
@@ -311,31 +310,21 @@ class FingerprintStore:
             both = pairs.join(texts.select("doc", F.col("title").alias("tb"), F.col("content").alias("cb")), "doc").join(only(here, cut(pairs.select("mine").distinct()), "mine"), "mine")
             return cut(both.where(exact(F.col("ta"), F.col("ca"), F.col("tb"), F.col("cb"), p) >= p.threshold).select("mine").distinct())
 
-        # The known texts that share most come first; a candidate they leave open sees the others met, and one whose keys
-        # are crowded then sees every text of its keys.
+        # The known texts that share most come first; a candidate they leave open sees the others met.
         ranked = hits.withColumn("nth", F.row_number().over(Window.partitionBy("mine").orderBy(F.desc("n"), "doc")))
         near = verified(ranked.where(F.col("nth") <= WITNESSES).select("mine", "doc", "loc"))
         rest = ranked.where(F.col("nth") > WITNESSES).select("mine", "doc", "loc").join(near, "mine", "left_anti")
         if rest.limit(1).count():
             near = near.unionByName(verified(rest))
-        crowded = many.join(still, "mine", "left_semi")
-        for s, positive in positives.items():
-            crowded = crowded.unionByName(positive.join(self.met("postings", s, positive, "band").where(F.col("nth") == FIRST), "band", "left_semi").select("mine"))
-        left = cut(crowded.distinct().join(near, "mine", "left_anti"))
-        if left.limit(1).count():
-            every = all_earlier(batch_keys, left)
-            for s, positive in positives.items():
-                every = every.unionByName(self.lookup(s, positive.join(left, "mine", "left_semi")))
-            near = near.unionByName(verified(every.select("mine", "doc", "loc").join(hits.select("mine", "doc"), ["mine", "doc"], "left_anti").distinct()))
         kinds = same.select("cand", F.lit(0).alias("k")).unionByName(near.join(own.select(F.col("doc").alias("mine"), "cand"), "mine").select("cand", F.lit(1).alias("k"))).unionByName(seen.where("t <> 'd'").select("cand", F.lit(2).alias("k")))
         return cut(kinds.groupBy("cand").agg(F.min("k").alias("k")).select("cand", F.element_at(F.array(F.lit("exact"), F.lit("near"), F.lit("key")), F.col("k") + 1).alias("kind")))
 
-    def lookup(self, segment: str, positive: DataFrame, first: int | None = None) -> DataFrame:
-        """(mine, doc, loc, n): texts of a segment that share keys with the positives (band, s1, s2, mine) and whose bits
-        allow the likeness; of each key all its texts, or the first ones only."""
-        own = self.met("postings", segment, positive, "band")
-        own = (own.where(F.col("nth") < first) if first else own).select("band", "doc", "loc", F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-        return positive.join(own, "band").where(_alike("s1", "s2", "t1", "t2")).groupBy("mine", "doc", "loc").agg(F.count(F.lit(1)).alias("n"))
+    def lookup(self, segment: str, positive: DataFrame) -> DataFrame:
+        """(mine, doc, loc, n): all texts of a segment that share keys with the positives (band, SIGNS, mine) and whose signs
+        allow the likeness."""
+        theirs = ("t1", "t2", "t3", "t4")
+        own = self.met("postings", segment, positive, "band", True).select("band", "doc", "loc", *(F.col(k).alias(t) for k, t in zip(SIGNS, theirs)))
+        return positive.join(own, "band").where(alike_signs(SIGNS, theirs)).groupBy("mine", "doc", "loc").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _part(key: str, n: int) -> Column:
@@ -343,44 +332,19 @@ def _part(key: str, n: int) -> Column:
     return F.pmod(F.hash(key), F.lit(n)).cast("int")
 
 
-def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by band with their place in it."""
-    last, seen = None, 0
-    for b in batches:
-        if not len(b):
-            continue
-        band = b["band"].to_numpy()
-        start = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
-        nth = np.arange(len(band)) - np.repeat(start, np.diff(np.append(start, len(band))))
-        if last == band[0]:
-            nth[: start[1] if len(start) > 1 else len(band)] += seen
-        last, seen = band[-1], int(nth[-1]) + 1
-        b.insert(1, "nth", nth.astype(np.int32))
-        yield b
-
-
-def earlier_in_batch(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Earlier rows of the batch (band, s1, s2, doc, loc, batch, cand) that share keys and whose bits allow the likeness:
-    (mine, doc, loc, n), and (mine) of those that have more than these.
-
-    A key's rows are taken in groups by the hash of their doc, and each row sees at most PREVIOUS earlier ones of its
-    group, so neither a window nor its result grows with a key that most of the batch shares.
-    """
-    group = F.pmod(F.xxhash64("doc"), F.lit(GROUPS))
-    own = Window.partitionBy("band", "group").orderBy("batch", "cand")
-    sizes = keys.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = cut(keys.join(sizes, "band"))  # few keys are shared
-    w = shared.withColumn("group", F.when(F.col("size") > PREVIOUS, group).otherwise(0)).withColumn("past", F.collect_list(F.struct("doc", "loc", "s1", "s2")).over(own.rowsBetween(-PREVIOUS, -1)))
-    met = w.select(F.col("doc").alias("mine"), "s1", "s2", F.explode("past").alias("x")).select("mine", "s1", "s2", "x.doc", "x.loc", F.col("x.s1").alias("t1"), F.col("x.s2").alias("t2"))
-    seen = met.where((F.col("mine") != F.col("doc")) & _alike("s1", "s2", "t1", "t2"))
-    return seen.groupBy("mine", "doc", "loc").agg(F.count(F.lit(1)).alias("n")), shared.where(F.col("size") > PREVIOUS).select(F.col("doc").alias("mine")).distinct()
-
-
-def all_earlier(keys: DataFrame, mine: DataFrame, salts: int = 16) -> DataFrame:
-    """(mine, doc, loc, n): every earlier row of the batch that shares keys with the given ones; keys are salted."""
-    late = keys.join(mine.withColumnRenamed("mine", "doc"), "doc", "left_semi").select("band", F.col("doc").alias("mine"), "s1", "s2", F.struct("batch", "cand").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    then = keys.select("band", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int").alias("salt"), "doc", "loc", F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.struct("batch", "cand").alias("then"))
-    return late.join(then, ["band", "salt"]).where((F.col("then") < F.col("at")) & _alike("s1", "s2", "t1", "t2")).groupBy("mine", "doc", "loc").agg(F.count(F.lit(1)).alias("n"))
+def earlier_in_batch(keys: DataFrame) -> DataFrame:
+    """(mine, doc, loc, n): every earlier row of the batch (band, SIGNS, doc, loc, batch, cand) that shares keys with a row and whose
+    signs allow the likeness; compared where the rows of a key meet. What one key costs grows with the square of its rows in the batch."""
+    small, cells = PREVIOUS, GROUPS << 12
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, _ in whole_groups(batches, "band"):
+            i, j = alike_rows(rows["band"].to_numpy(np.int64), rows[list(SIGNS)].to_numpy(np.int64), small, cells)
+            doc = rows["doc"].to_numpy(np.int64)
+            yield pd.DataFrame({"mine": doc[j], "doc": doc[i], "loc": rows["loc"].to_numpy(np.int64)[i]})
+
+    met = keys.repartition("band").sortWithinPartitions("band", "batch", "cand").mapInPandas(run, "mine long, doc long, loc long")
+    return met.where("mine <> doc").groupBy("mine", "doc", "loc").agg(F.count(F.lit(1)).alias("n"))
 
 
 def history_rows(df: DataFrame, key: str) -> DataFrame:

@@ -12,8 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkweir.llm.sampling import under
-
 # Unicode white space.
 BLANKS = (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
@@ -290,28 +288,16 @@ def only(rows: DataFrame, keys: DataFrame, key: str, most: int = 1_000_000) -> D
     return rows.join(F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys, key, "left_semi")
 
 
-def hot_keys(sketches: DataFrame, p: Likeness, probe: int, least: int) -> np.ndarray:
-    """Sorted keys, of every length, that more than `least` of about `probe` sampled distinct texts (digest, sketch) hold.
-
-    It only decides which keys start longer; one task counts the bounded sample, at most probe * bands * 3 / least keys
-    come back.
-    """
-    total = sketches.count()
-    some = sketches.where(under(F.xxhash64("digest"), probe / max(1, total)))
+def crowded_keys(sketches: DataFrame, p: Likeness, most: int) -> DataFrame:
+    """(key): the keys of two values that more than `most` of the texts (sketch) hold, counted over all of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[bytes, bytes] = {}
         for b in batches:
-            held.update(zip(b["digest"], b["sketch"]))
-        if not held:
-            return
-        keys = prefix_keys(values_of(list(held.values()), p.bins), p)
-        for level in range(keys.shape[2]):
-            own, n = np.unique(keys[:, :, level], return_counts=True)
-            yield pd.DataFrame({"key": own[n > least]})
-
-    found = some.select("digest", "sketch").coalesce(1).mapInPandas(run, "key long").toPandas()
-    return np.sort(found["key"].to_numpy(np.int64))
+            if len(b):
+                key, n = np.unique(prefix_keys(values_of(b["sketch"], p.bins), p)[:, :, 0], return_counts=True)
+                yield pd.DataFrame({"key": key, "n": n})
+
+    return sketches.select("sketch").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("key")
 
 
 def lengthened(rows: DataFrame, p: Likeness = Likeness()) -> DataFrame:
