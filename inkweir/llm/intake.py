@@ -38,7 +38,7 @@ FIRST = 8
 #: Keys of a Bloom filter that are screened together; segments of one rank that are merged.
 TOGETHER, FAN = 200_000, 4
 #: Bytes of a segment's filters up to which they go to every task.
-BROADCAST = 32 << 20
+BROADCAST = 4 << 20
 #: A record's place: the number of its stage and of the task that wrote it.
 TASKS = 1 << 20
 

@@ -283,7 +283,7 @@ def alike_rows(group: np.ndarray, signs: np.ndarray, small: int = 64, cells: int
     return np.concatenate(left), np.concatenate(right)
 
 
-def only(rows: DataFrame, keys: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+def only(rows: DataFrame, keys: DataFrame, key: str, most: int = 100_000) -> DataFrame:
     """The rows whose key is in `keys` (distinct, materialised): filtered at the scan if they are few enough to broadcast."""
     return rows.join(F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys, key, "left_semi")
 
